@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from lakevault.llm import chat
+from lakevault.llm import chat, mix, urls, warc
 
 QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op6_source_mixing": mix.op6_source_mixing,
+    "op7_url_rules": urls.op7_url_rules,
+    "op9_warc_revisits": warc.op9_warc_revisits,
 }
+#: What op6 draws by lot SQL can't say; tests hold it against its invariants.
 ORACLE_SQL = {
     "op4_chat_formatting": chat.SQL,
+    "op7_url_rules": urls.SQL,
+    "op9_warc_revisits": warc.SQL,
 }
