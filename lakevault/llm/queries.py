@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lakevault.llm import chat, mix, urls, warc
+from lakevault.llm import chat, mix, substrings, urls, warc
 
 QUERIES = {
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_source_mixing": mix.op6_source_mixing,
     "op7_url_rules": urls.op7_url_rules,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 #: What op6 draws by lot SQL can't say; tests hold it against its invariants.
 ORACLE_SQL = {
+    "op3_substring_dedup": substrings.SQL,
     "op4_chat_formatting": chat.SQL,
     "op7_url_rules": urls.SQL,
     "op9_warc_revisits": warc.SQL,
