@@ -47,3 +47,20 @@ def partitions(spark: SparkSession) -> int:
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder, with its partitioning known: joins on that need no shuffle.
+
+    An adaptive plan doesn't tell its partitioning, so for this one job adaptive planning is off.
+    """
+    spark = df.sparkSession
+    work_dir(spark)
+    key = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        # planned anew, as the plan of df may have been made before
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(key, was)

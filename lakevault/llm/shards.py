@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import partitions, work_dir
+from lakevault.llm.common import partitions, pinned
 
 U64 = np.uint64
 #: Keys in a bucket, about.
@@ -68,9 +68,7 @@ def packed(text: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 def sharded(docs: DataFrame, text: str = "text", shard_bytes: int = 4 << 20) -> DataFrame:
     """The shards of docs, checkpointed and partitioned by shard."""
-    work_dir(docs.sparkSession)
-    n = partitions(docs.sparkSession)
-    return docs.mapInArrow(packed(text, shard_bytes), SHARDS).repartition(n, "shard").checkpoint()
+    return pinned(docs.mapInArrow(packed(text, shard_bytes), SHARDS).repartition(partitions(docs.sparkSession), "shard"))
 
 
 class Shard:
@@ -197,7 +195,7 @@ def answered(hot: int | None):
 def exchanged(keys: DataFrame, hot: int | None = None) -> DataFrame:
     """shard, hits: what the buckets answer each shard, from rows as in KEYS."""
     got = keys.groupBy("bucket").applyInArrow(answered(hot), "shard long, bucket int, answer binary")
-    return got.groupBy("shard").agg(F.collect_list(F.struct("bucket", "answer")).alias("hits"))
+    return pinned(got.groupBy("shard").agg(F.collect_list(F.struct("bucket", "answer")).alias("hits")))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
