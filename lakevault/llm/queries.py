@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lakevault.llm import chat, mix, substrings, urls, warc
+from lakevault.llm import chat, mix, substrings, suffixes, urls, warc
 
 QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_source_mixing": mix.op6_source_mixing,
     "op7_url_rules": urls.op7_url_rules,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_warc_revisits": warc.op9_warc_revisits,
 }
 #: What op6 draws by lot SQL can't say; tests hold it against its invariants.
 ORACLE_SQL = {
+    "op8_suffix_dedup": suffixes.SQL,
     "op3_substring_dedup": substrings.SQL,
     "op4_chat_formatting": chat.SQL,
     "op7_url_rules": urls.SQL,
