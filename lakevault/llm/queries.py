@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakevault.llm import chat, mix, substrings, suffixes, urls, warc
+from lakevault.llm import chat, mix, ngram_join, substrings, suffixes, urls, warc
 
 QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_source_mixing": mix.op6_source_mixing,
     "op7_url_rules": urls.op7_url_rules,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
     "op9_warc_revisits": warc.op9_warc_revisits,
 }
 #: What op6 draws by lot SQL can't say; tests hold it against its invariants.
@@ -18,5 +19,6 @@ ORACLE_SQL = {
     "op3_substring_dedup": substrings.SQL,
     "op4_chat_formatting": chat.SQL,
     "op7_url_rules": urls.SQL,
+    "op10_ngram_join": ngram_join.SQL,
     "op9_warc_revisits": warc.SQL,
 }
