@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lakevault.llm import chat, mix, ngram_join, substrings, suffixes, urls, warc
+from lakevault.llm import chat, embeddings, leaks, mix, ngram_join, substrings, suffixes, urls, warc
 
 QUERIES = {
+    "op2_benchmark_leaks": leaks.op2_benchmark_leaks,
+    "op5_embedding_neighbours": embeddings.op5_embedding_neighbours,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_source_mixing": mix.op6_source_mixing,
@@ -15,6 +17,8 @@ QUERIES = {
 }
 #: What op6 draws by lot SQL can't say; tests hold it against its invariants.
 ORACLE_SQL = {
+    "op2_benchmark_leaks": leaks.SQL,
+    "op5_embedding_neighbours": embeddings.SQL,
     "op8_suffix_dedup": suffixes.SQL,
     "op3_substring_dedup": substrings.SQL,
     "op4_chat_formatting": chat.SQL,
