@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lakevault.llm import chat, embeddings, leaks, mix, ngram_join, substrings, suffixes, urls, warc
+from lakevault.llm import chat, embeddings, leaks, mix, ngram_join, substrings, suffixes, toxicity, urls, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_benchmark_leaks": leaks.op2_benchmark_leaks,
     "op5_embedding_neighbours": embeddings.op5_embedding_neighbours,
     "op3_substring_dedup": substrings.op3_substring_dedup,
