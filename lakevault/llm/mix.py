@@ -2,11 +2,12 @@
 
 Each source gets a target number of words by its weight, capped at MOST times what it has; what a cap cuts off is shared
 again by weight. A document then has the fractional copy probability target / source size. Whole copies are given at
-once. The fractions are rounded in pairs: of two documents with fractions, one gives word mass to the other until one of
-them is integral, which way by lot, so that each keeps its expectation and the two together keep their words. One
-document at most is left of each bucket; the leftovers of FAN buckets are rounded together, and so on up a tree, until
-one document of the source is left, rounded by a last draw. A source's words hence miss its target by less than the
-size of that one document. Larger documents are paired first, so that it tends to be a small one.
+once. The fractions are rounded in pairs: of two partners with fractions, one gives word mass to the other until one of
+them is integral, which way by lot, so that each keeps its expectation and the two together keep their words. In a bucket
+of documents the partner of the largest one is the pool of all smaller ones, whose common fraction takes up the mass, as
+long as the pool can; what the pool can't settle is paired one by one. So the one document at most that is left of each
+bucket is a small one. The leftovers of FAN buckets are rounded together, and so on up a tree, until one document of the
+source is left, rounded by a last draw. A source's words miss its target by less than the size of that one document.
 
 The draws follow from the seed, the source and the bucket alone, and a bucket's rows are sorted first: neither the
 cluster nor the order of rows matters, and reruns agree.
@@ -82,6 +83,24 @@ def pivot(rows: list[tuple[int, float]], draw: random.Random) -> tuple[list[int]
     return given, at, q
 
 
+def pooled(sizes: list[int], p: float, draw: random.Random) -> tuple[list[int], list[tuple[int, float]]]:
+    """Rounds documents of one fraction, largest first, against the pool of those after them: 0 or 1 for each, and (place, fraction) of those left open."""
+    given, open_, rest = [0] * len(sizes), [], sum(sizes)
+    for j, w in enumerate(sizes):
+        rest -= w
+        if p <= EPS or p >= 1 - EPS:
+            given[j] = int(p > 0.5)
+        elif rest and (1 - p) * w <= p * rest and p * w <= (1 - p) * rest:
+            if draw.random() < p:
+                given[j] = 1
+                p -= (1 - p) * w / rest
+            else:
+                p += p * w / rest
+        else:
+            open_.append((j, p))
+    return given, open_
+
+
 def seeded(*key: object) -> random.Random:
     return random.Random(hashlib.sha256(repr(key).encode()).digest())
 
@@ -94,7 +113,12 @@ def rounded(seed: int, level: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending"), ("k", "ascending")])
         sizes, fractions = rows["size"].to_pylist(), rows["fraction"].to_pylist()
-        given, at, q = pivot(list(zip(sizes, fractions, strict=True)), seeded(seed, level, key[0].as_py(), key[1].as_py()))
+        draw = seeded(seed, level, key[0].as_py(), key[1].as_py())
+        given, open_ = pooled(sizes, fractions[0], draw) if not level else ([0] * len(sizes), list(enumerate(fractions)))
+        settled, at, q = pivot([(sizes[j], p) for j, p in open_], draw)
+        for (j, _), g in zip(open_, settled, strict=True):
+            given[j] += g
+        at = open_[at][0] if at >= 0 else -1
         copies = [c + g for c, g in zip(rows["copies"].to_pylist(), given, strict=True)]
         left = [i == at for i in range(len(copies))]
         values = {"copies": pa.array(copies, pa.int64()), "fraction": pa.array([q if x else 0.0 for x in left], pa.float64()), "left": pa.array(left, pa.bool_())}
