@@ -104,43 +104,69 @@ def candidates(s: Shingles, items: Items) -> set[tuple[int, int]]:
     return found
 
 
+def verified(s: Shingles, items: Items, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, shingles of the item, of which the text has) of the pairs that contain enough."""
+    last, mine = -1, None
+    for t, i in sorted(candidates(s, items)):
+        if t != last:
+            last, mine = t, s.distinct(t)
+        x = items.sets[i]
+        at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
+        both = int((mine[at] == x).sum())
+        if both >= threshold * len(x):
+            yield t, i, len(x), both
+
+
 def searching(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for batch, texts in chunks(batches):
-            s, ids = Shingles(texts), batch.column(0).to_pylist()
-            rows, last, mine = [], -1, None
-            for t, i in sorted(candidates(s, items)):
-                if t != last:
-                    last, mine = t, s.distinct(t)
-                x = items.sets[i]
-                at = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
-                both = int((mine[at] == x).sum())
-                if both >= threshold * len(x):
-                    rows.append((ids[t], items.ids[i], len(x), both, both / len(x)))
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[t], items.ids[i], n, both, both / n) for t, i, n, both in verified(Shingles(texts), items, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW_PAIRS)], schema=ARROW_PAIRS)
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_shared, containment: a row for each document that holds an item of items (item_id, text)."""
-    spark = docs.sparkSession
+def blocks(items: DataFrame) -> Iterator:
+    """The items, in broadcasts of a bounded size each."""
+    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     n, words = items.agg(F.count("*"), F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(words / BLOCK_WORDS))
-    if blocks > 1:
-        items = saved(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks))), "items")
+    count = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(words / BLOCK_WORDS))
+    if count > 1:
+        items = saved(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count))), "items")
+    for k in range(count):
+        rows = (items.where(F.col("block") == k) if count > 1 else items).select("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_shared, containment: a row for each document that holds an item of items (item_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for k in range(blocks):
-        rows = (items.where(F.col("block") == k) if blocks > 1 else items).select("item_id", "text").collect()  # a block, whose size is bounded
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+    for shared in blocks(items):
         one = docs.mapInArrow(searching(shared, threshold), PAIRS)
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def kept(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item."""
+
+    def clean(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in chunks(batches):
+                bad = {t for t, *_ in verified(Shingles(texts), shared.value, threshold)}
+                yield batch.filter(pa.array([t not in bad for t in range(len(texts))], pa.bool_()))
+
+        return run
+
+    for shared in blocks(items):
+        docs = docs.mapInArrow(clean(shared), docs.schema)
+    return docs
+
+
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

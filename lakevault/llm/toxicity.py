@@ -328,6 +328,19 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_hits long, n_quoted long")
 
 
+def kept(docs: DataFrame, lexicon: Lexicon, threshold: float = TOXIC) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x: Lexicon = shared.value
+        x.ready()
+        for batch, texts in chunks(batches):
+            yield batch.filter(pa.array([x.score(t)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
