@@ -1,8 +1,90 @@
-"""The corpus pipeline: stages over documents, each written and reread as the next one's input."""
+"""The corpus pipeline over documents: toxicity, near-duplicates, substring deduplication, decontamination, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a frame that is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents; the last adds a
+document's copies in the mix.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakevault.llm import leaks, mix, ngram_join, substrings, toxicity
+from lakevault.llm.common import new_path, saved, table
+from lakevault.session import ship
+
+
+def row_hash() -> Column:
+    return F.xxhash64("text")
+
+
+def rejoined(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
+    """docs that have, or lack, a row in verdicts (id, hash): null ids match, too."""
+    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("id")) & (row_hash() == F.col("hash")), how)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go. It learns from the labels that are not held out."""
+    ship(spark)
+    labels = table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic"))
+    return toxicity.kept(docs, lexicon)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of the n-gram Jaccard join connect, the one of smallest id stays; of repeated rows, one."""
+    ship(spark)
+    found = ngram_join.joined(docs)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    # an id with several texts in a group keeps the text of least hash; rows without words are groups of their own
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("least")).where("n > 1")
+    again = saved(firsts.select(F.col("doc_id").alias("id"), "least"), "repeated")
+    kept = rejoined(docs, gone, "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").groupBy("doc_id").agg(*[F.min_by(c, row_hash()).alias(c) for c in docs.columns if c != "doc_id"])
+    rest = kept.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that a repeated window covers go, and n_chars follows the text; a document left without words goes."""
+    ship(spark)
+    found = substrings.deduplicated(docs).where("n_words = 0 OR n_removed < n_words")
+    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship(spark)
+    return leaks.kept(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: what the mix takes of each document."""
+    ship(spark)
+    return mix.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+]
+
+#: The first stage learns, and the last one draws lots: tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(path := new_path(spark, f"stage-{name}"))
+        docs = spark.read.parquet(path)
+    return docs
