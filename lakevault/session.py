@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +35,18 @@ def ship(spark: SparkSession) -> SparkSession:
 def session(master: str | None = None, name: str = "lakevault", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | conf)
     return ship((builder.master(master) if master else builder).getOrCreate())
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "/tmp/checkpoints/lakevault"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder: lineage ends, and nothing before is computed again."""
+    work_dir(df.sparkSession)
+    return df.checkpoint()
