@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lakevault.llm.common import partitions, saved, table
 from lakevault.llm.components import components
-from lakevault.llm.ngram_join import forest
+from lakevault.llm.ngram_join import SELF, forest
 from lakevault.llm.shards import U64, mixed, rows_of
 
 THRESHOLD = 0.95
@@ -148,8 +148,8 @@ def compared(tables: int, parts: int, threshold: float):
         cids = np.array(list(held), np.int64)
         side, copies, vectors = zip(*held.values(), strict=True)
         side, copies, x = np.array(side), np.array(copies, np.int64), unit_rows(list(vectors))
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        left = np.flatnonzero(side != 1)
+        right = left if (side == SELF).any() else np.flatnonzero(side == 1)
         mine: np.ndarray | None = None
         links, label = np.zeros(len(cids), np.int64), np.arange(len(cids))
         for start in range(0, len(left), 512):
@@ -213,7 +213,8 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -
         others = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
         each = dealt.select("tab", "key", "cid", "piece", others)
         unit = F.concat_ws(" ", "tab", "key", F.least("piece", "other"), F.greatest("piece", "other"))
-        work = each.select("cid", "tab", "key", unit.alias("unit"), (F.col("piece") > F.col("other")).cast("int").alias("side"))
+        side = F.when(F.col("piece") == F.col("other"), SELF).otherwise((F.col("piece") > F.col("other")).cast("int"))
+        work = each.select("cid", "tab", "key", unit.alias("unit"), side.alias("side"))
         joined = work.join(of, "cid").repartition(n, "unit").sortWithinPartitions("unit")
         one = joined.select("unit", "tab", "key", "side", "cid", "copies", "vector").mapInArrow(compared(tables, parts, threshold), TOLD)
         told = one if told is None else told.unionByName(one)

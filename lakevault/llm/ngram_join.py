@@ -38,6 +38,9 @@ HASHES, ROWS, STEP = 72, 3, 8
 #: Classes and shingles of a block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 19
 
+#: In a unit, rows of side 0 are compared to those of side 1, and rows of side SELF to each other.
+SELF = 2
+
 SIGNED = "doc_id long, text_hash long, n long, c1 long, c2 long, sig binary"
 ARROW_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.binary())])
 
@@ -153,8 +156,8 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side, copies = np.array(side), np.array(copies, np.int64)
         values = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, HASHES)
         arrays = [np.frombuffer(x, U64) for x in sets]
-        left = np.flatnonzero(side == 0)
-        a, b = linked_pairs(values, arrays, left, np.flatnonzero(side == 1) if (side == 1).any() else left)
+        left = np.flatnonzero(side != 1)
+        a, b = linked_pairs(values, arrays, left, left if (side == SELF).any() else np.flatnonzero(side == 1))
         links = np.bincount(a, copies[b], len(cids)) + np.bincount(b, copies[a], len(cids))
         some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(cids[some]), pa.array(links[some].astype(np.int64)), pa.array(cids[forest(len(cids), a, b)[some]])], schema=ARROW_TOLD)
@@ -205,8 +208,8 @@ def joined(docs: DataFrame) -> DataFrame:
     pairs = there.join(there.select("key", F.col("block").alias("other")), "key").where("block <= other").select("root", "block", "other").distinct()
     pairs = saved(pairs, "pairs")
     unit = lambda a, b: F.concat_ws(" ", "root", a, b)
-    alone = members.where("blocks = 1").select("cid", F.concat_ws(" ", "root").alias("unit"), F.lit(0).alias("side"))
-    first = large.join(pairs, ["root", "block"]).select("cid", unit("block", "other").alias("unit"), F.lit(0).alias("side"))
+    alone = members.where("blocks = 1").select("cid", F.concat_ws(" ", "root").alias("unit"), F.lit(SELF).alias("side"))
+    first = large.join(pairs, ["root", "block"]).select("cid", unit("block", "other").alias("unit"), F.when(F.col("block") == F.col("other"), SELF).otherwise(0).alias("side"))
     second = large.join(pairs.where("block <> other").select("root", F.col("block").alias("one"), F.col("other").alias("block")), ["root", "block"]).select("cid", unit("one", "block").alias("unit"), F.lit(1).alias("side"))
     work = alone.unionByName(first).unionByName(second)
     # null ids match, too
