@@ -18,10 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), content, size, mtime of all files below a folder, links as the files they lead to."""
+    """path (relative), content, size, mtime of all files below a folder, links as the files they lead to.
+
+    Spark's file source leaves empty files out; their names alone are listed by the driver, as all names are in any case.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = "^(?:[a-z0-9+.-]+:/*)?" + "/" + "\\Q" + root.split("://")[-1].strip("/") + "\\E/"
-    return files.select(F.regexp_replace("path", prefix, "").alias("path"), "content", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+    rows = files.select("path", "content", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, empty = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        if not (x := found.next()).getLen():
+            empty.append((x.getPath().toString(), bytearray(), 0, x.getModificationTime() * 1000))
+    if empty:
+        rows = rows.unionByName(spark.createDataFrame(empty, "path string, content binary, size long, mtime long"))
+    return rows.withColumn("path", F.regexp_replace("path", prefix, ""))
 
 
 def byte_range(content: Column, first: Column, last: Column) -> Column:
