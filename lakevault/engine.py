@@ -1,8 +1,9 @@
 """The command surface: one method for each thing a user of the store does.
 
 A repository is one folder on any file system that Spark writes to: a table for each kind of object, a folder of Parquet
-files for each run, and the versions last. A run's objects count once its version row is there; garbage collection writes
-a new generation of tables and then the pointer to it. The configuration is a small JSON table in the same folder.
+files for each run, and the versions last. A run's objects count once its version row is there; what a run that failed
+has left is used by the next one. One run writes at a time. Garbage collection writes a new generation of tables and then
+the pointer to it. The configuration is a small JSON table in the same folder.
 """
 
 from __future__ import annotations
@@ -108,11 +109,9 @@ class Engine:
             getattr(s, t).write.parquet(f"{self.path}/{self._pointer('generation')}/{t}/run={run}")
 
     def store(self) -> Store:
-        """All objects, as stored; each once, though two runs may have brought it."""
+        """All objects, as stored: a run writes only what is not there yet, and one runs at a time."""
         at = f"{self.path}/{self._pointer('generation')}"
-        read = {t: self.spark.read.schema(SCHEMAS[t]).option("recursiveFileLookup", True).parquet(f"{at}/{t}") for t in TABLES}
-        keys = {"chunks": ["chunk_digest"], "file_chunks": ["file_digest", "ordinal"], "files_obj": ["file_digest"], "trees": ["tree_digest"], "tree_entries": ["tree_digest", "ordinal"], "versions": ["version_digest"]}
-        return Store(**{t: df.dropDuplicates(keys[t]) for t, df in read.items()})
+        return Store(**{t: self.spark.read.schema(SCHEMAS[t]).option("recursiveFileLookup", True).parquet(f"{at}/{t}") for t in TABLES})
 
     def plain(self) -> Store:
         """The store with chunk contents decrypted."""
@@ -145,7 +144,7 @@ class Engine:
         fresh = lambda t, key: getattr(s, t).join(getattr(have, t).select(key).distinct(), key, "left_anti").select(*getattr(s, t).columns)
         new = Store(
             self._sealed(fresh("chunks", "chunk_digest")), fresh("file_chunks", "file_digest"), fresh("files_obj", "file_digest"),
-            fresh("trees", "tree_digest"), fresh("tree_entries", "tree_digest"), s.versions,
+            fresh("trees", "tree_digest"), fresh("tree_entries", "tree_digest"), fresh("versions", "version_digest"),
         )
         self._append(new)
         return s.versions.first()["version_digest"]
