@@ -188,7 +188,8 @@ class Pieces:
             head = np.flatnonzero(new)
             firsts.append(at[head] + a)
             lasts.append(at[np.append(head[1:], len(at)) - 1] + a)
-            hashes.append(gram[chosen[head]])
+            # the least of many hashes is a small number: mixed again, it is spread over the buckets
+            hashes.append(mixed(gram[chosen[head]] + U64(1)))
         empty = np.empty(0, np.int64)
         return np.concatenate([empty, *firsts]), np.concatenate([empty, *lasts]), np.concatenate([np.empty(0, U64), *hashes])
 
