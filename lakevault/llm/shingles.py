@@ -6,10 +6,13 @@ text, or one without words, has none. Shingles are known by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 
 from lakevault.llm.shards import U64, mixed
 from lakevault.llm.words import Words, run_hashes
@@ -19,18 +22,28 @@ WORDS = 5
 CHUNK = 2 << 20
 
 
+def released() -> None:
+    """Gives memory that is free back to the system: a worker goes on to other tasks, and would keep what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts, of about CHUNK characters."""
+    """Slices of the batches with their texts, of about CHUNK bytes."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > CHUNK:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t)
-        if len(texts) > start:
-            yield batch.slice(start), texts[start:]
+        column = batch.column(batch.schema.get_field_index(text))
+        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        cuts, size = [0], 0
+        for i, n in enumerate(lengths):
+            if size and size + n > CHUNK:
+                cuts.append(i)
+                size = 0
+            size += n
+        for a, b in zip(cuts, [*cuts[1:], len(lengths)], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a), [t or "" for t in column.slice(a, b - a).to_pylist()]
+    released()
 
 
 class Shingles:

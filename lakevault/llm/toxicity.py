@@ -38,6 +38,8 @@ SAMPLE, CANDIDATES, TERMS, INNOCENT = 20_000, 50_000, 4_096, 20_000
 #: A term's least log-likelihood ratio, the least part of the documents with it that are toxic, and the most that one hit may score.
 EVIDENCE, PRECISION, SURE = 12.0, 0.6, 0.95
 SHORTEST, LONGEST = 3, 12
+#: Words or features that a task holds at a time.
+HELD = 100_000
 WINDOW, QUOTED, REPORTED = 8, 0.2, 0.5
 MISSPELT = 0.35
 TOXIC = 0.7
@@ -170,7 +172,7 @@ class Lexicon:
     def weigh(self, token: str) -> float:
         """A token's weight, 0 for most."""
         if (w := self.known.get(token)) is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > HELD:
                 self.known.clear()
             w = self.known[token] = self.judge(bare(token))
         return w
@@ -262,7 +264,7 @@ def counted(only: frozenset | None):
             for t in texts:
                 x = features(t)
                 found.update(x if only is None else x & only)
-            if len(found) > 1_000_000:
+            if len(found) > HELD:
                 yield out()
                 found.clear()
         yield out()
