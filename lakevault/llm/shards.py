@@ -13,6 +13,8 @@ than any other. A bucket row holds one key at least, so there are never more row
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,7 +68,7 @@ def packed(text: str, shard_bytes: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def sharded(docs: DataFrame, text: str = "text", shard_bytes: int = 4 << 20) -> DataFrame:
+def sharded(docs: DataFrame, text: str = "text", shard_bytes: int = 2 << 20) -> DataFrame:
     """The shards of docs, checkpointed and partitioned by shard."""
     return pinned(docs.mapInArrow(packed(text, shard_bytes), SHARDS).repartition(partitions(docs.sparkSession), "shard"))
 
@@ -92,10 +94,18 @@ class Shard:
         return pa.ipc.open_stream(pa.decompress(self.raw[8:], n, "zstd")).read_all()
 
 
+def released() -> None:
+    """Gives memory that is free back to the system: a worker goes on to other tasks, and would keep what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+    released()
 
 
 class Keys:

@@ -6,15 +6,13 @@ text, or one without words, has none. Shingles are known by 64-bit hashes.
 
 from __future__ import annotations
 
-import ctypes
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 
-from lakevault.llm.shards import U64, mixed
+from lakevault.llm.shards import U64, mixed, released
 from lakevault.llm.words import Words, run_hashes
 
 WORDS = 5
@@ -22,13 +20,6 @@ WORDS = 5
 CHUNK = 2 << 20
 
 
-def released() -> None:
-    """Gives memory that is free back to the system: a worker goes on to other tasks, and would keep what its largest one took."""
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts, of about CHUNK bytes."""
     for batch in batches:
