@@ -35,19 +35,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of the n-gram Jaccard join connect, the one of smallest id stays; of repeated rows, one."""
+    """Of the rows that links of the n-gram Jaccard join connect, the one of smallest id, and then of least hash, stays; of repeated rows, one.
+
+    Rows are known by id and text: texts that share an id, or have none, are not copies for that.
+    """
     ship(spark)
     found = ngram_join.joined(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
-    # an id with several texts in a group keeps the text of least hash; rows without words are groups of their own
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("least")).where("n > 1")
-    again = saved(firsts.select(F.col("doc_id").alias("id"), "least"), "repeated")
+    head = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("head_hash"))
+    row = [F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")]
+    gone = found.where(~head).select(*row).distinct()
+    again = saved(found.where(head).groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").select("id", "hash"), "repeated")
     kept = rejoined(docs, gone, "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").groupBy("doc_id").agg(*[F.min_by(c, row_hash()).alias(c) for c in docs.columns if c != "doc_id"])
-    rest = kept.join(again, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
-    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = rejoined(kept, again, "left_semi").groupBy("doc_id", row_hash().alias("hash")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rejoined(kept, again, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

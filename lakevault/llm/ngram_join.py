@@ -182,16 +182,18 @@ def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class_id, n_links, group_id for each row of docs (doc_id, text).
+    """doc_id, text_hash, class_id, n_links, group_id, head_hash for each row of docs (doc_id, text).
 
     class_id is the smallest id of the documents with an equal set of shingles, group_id that of all which links connect;
     n_links counts the other documents with a similarity of THRESHOLD or more, copies included.
+    head_hash is the least text_hash under group_id among the rows of a group: both say which row stands for it, as an id may be
+    in several groups.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = saved(docs.mapInArrow(signed, SIGNED), "signatures")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     bands = classes.select("cid", "sig").mapInArrow(banded, "key long, cid long")
     least = bands.groupBy("key").agg(F.min("cid").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
@@ -220,19 +222,19 @@ def joined(docs: DataFrame) -> DataFrame:
     told = saved(told, "links")
     links = told.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(told.where("cid <> parent").select("cid", "parent"))
-    ids = groups.join(classes, F.col("node") == F.col("cid")).select("root", "cid", "least")
-    smallest = ids.groupBy("root").agg(F.min("least").alias("smallest"))
-    per = ids.join(smallest, "root").select("cid", "smallest").join(links, "cid")
-    result = classes.select("c1", "c2", "cid", "least", "copies").join(per, "cid", "left").select(
-        "c1", "c2", F.col("least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("group_id")
+    ids = groups.join(classes, F.col("node") == F.col("cid")).select("root", "cid", "least", "head")
+    smallest = ids.groupBy("root").agg(F.min("least").alias("smallest"), F.min("head").alias("first"))
+    per = ids.join(smallest, "root").select("cid", "smallest", "first").join(links, "cid")
+    result = classes.select("c1", "c2", "cid", "least", "head", "copies").join(per, "cid", "left").select(
+        "c1", "c2", F.col("least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("group_id"), F.coalesce("first", "head")["text_hash"].alias("head_hash")
     )
     return rows.join(result, ["c1", "c2"], "left").select(
-        "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "doc_id").alias("group_id")
+        "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("head_hash", "text_hash").alias("head_hash")
     )
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents")).drop("text_hash")
+    return joined(table(spark, sf_dir, "documents")).drop("text_hash", "head_hash")
 
 
 SQL = r"""

@@ -104,3 +104,16 @@ def test_stages(spark, tables):
 def test_run(spark, tables):
     rows = cp.run(spark, tables[0])
     assert rows.count() > 100 and rows.columns[:2] == ["doc_id", "source"]
+
+
+def test_texts_that_share_an_id_are_no_copies(spark):
+    rng = random.Random(5)
+    a, b, c = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    near_a, near_c = [" ".join([*t.split()[:-1], "changed"]) for t in (a, c)]
+    rows = [(40, a), (40, b), (41, near_a), (40, b), *((None, prose(rng, 20)) for _ in range(30)), (None, c), (None, c), (None, near_c), (7, ""), (7, " "), (7, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, docs, "").collect()]
+    heads = [r for r in got if r[1] in (c, near_c)]
+    assert len(heads) == 1
+    gone = {(41, near_a), (None, c), (None, near_c)}
+    assert sorted(map(key, got)) == sorted(map(key, [*set(rows) - gone, *heads]))
