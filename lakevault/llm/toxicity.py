@@ -4,9 +4,11 @@ Learning, from labelled rows alone: of at most SAMPLE labelled documents (those
 and word beginnings that the toxic ones hold far more often than the others make the lexicon; of near copies one counts. Of beginnings that say
 the same the longest is taken. Words that clean documents of the sample hold are no misspellings, however near they come.
 
-Matching: the lexicon's words are a trie; its product with Levenshtein automata (one edit for words of 5 letters on, two
-from 9 on; a swap of neighbours is one edit) is made deterministic step by step as texts need it, so that a word is read
-once, letter by letter, and most words end after two or three. Beginnings are matched exactly.
+Matching: the lexicon's words, and the words of toxic documents of the sample that its beginnings cover, are a trie; its
+product with Levenshtein automata (one edit for terms of 4 letters on, two from 9 on, and for a covered word as for its
+beginning; a swap of neighbours is one edit) is made deterministic step by step as texts need it, so that a word is read
+once, letter by letter, and most words end after two or three. Beginnings themselves are matched exactly: a word that
+begins so counts as spelt as learned.
 
 Scoring: each hit has a weight, full if spelt as learned, less if misspelt. Its window, WINDOW words to either side, tells
 quotation from abuse: a hit between quotation marks weighs QUOTED as much, and less still by a reporting word nearby. The
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,18 +156,21 @@ class Automaton:
 
 
 class Lexicon:
-    """Weights of terms; a term with a star is a beginning. innocent: words that are no misspellings."""
+    """Weights of terms; a term with a star is a beginning. innocent: words that are no misspellings; covered: words that beginnings cover, whose misspellings count."""
 
-    def __init__(self, terms: dict[str, float], innocent: Iterable[str] = ()):
+    def __init__(self, terms: dict[str, float], innocent: Iterable[str] = (), covered: Iterable[str] = ()):
         self.terms, self.innocent = terms, frozenset(innocent)
         self.words = {t: w for t, w in terms.items() if not t.endswith("*")}
         self.beginnings = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
         self.lengths = sorted({len(b) for b in self.beginnings})
+        under = {w: b for w in covered if w not in self.words and (b := self.begun(w))}
+        self.spelt = self.words | {w: self.beginnings[b] for w, b in under.items()}
+        self.sizes = {w: len(under.get(w, w)) for w in self.spelt}
         self.automata: list[Automaton] | None = None
 
     def ready(self) -> None:
         if self.automata is None:
-            near = [w for w in self.words if 5 <= len(w) < 9], [w for w in self.words if len(w) >= 9]
+            near = [w for w, n in self.sizes.items() if 4 <= n < 9], [w for w, n in self.sizes.items() if n >= 9]
             self.automata = [Automaton(ws, k) for ws, k in zip(near, (1, 2), strict=True) if ws]
             self.known: dict[str, float] = {}
 
@@ -180,16 +185,22 @@ class Lexicon:
     def judge(self, word: str) -> float:
         if word in self.words:
             return self.words[word]
+        if b := self.begun(word):
+            return self.beginnings[b]
+        if len(word) < SHORTEST or word in self.innocent:
+            return 0.0
+        return max((MISSPELT * self.spelt[m[1]] for a in self.automata if (m := a.match(word))), default=0.0)
+
+    def begun(self, word: str) -> str:
+        """The beginning that covers a word, "" for most."""
         for n in self.lengths:
             if n <= len(word) and word[:n] in self.beginnings:
-                return self.beginnings[word[:n]]
-        if len(word) < 4 or word in self.innocent:
-            return 0.0
-        return max((MISSPELT * self.words[m[1]] for a in self.automata if (m := a.match(word))), default=0.0)
+                return word[:n]
+        return ""
 
     def near(self, word: str) -> bool:
         """Whether a word that is no term would count as a misspelt one."""
-        return len(word) >= 4 and word not in self.words and any(a.match(word) for a in self.automata)
+        return len(word) >= SHORTEST and word not in self.words and not self.begun(word) and any(a.match(word) for a in self.automata)
 
     def score(self, text: str) -> tuple[float, int, int]:
         """Score, hits and quoted hits of a whole text."""
@@ -272,14 +283,16 @@ def counted(only: frozenset | None):
     return run
 
 
-def nearby(lexicon):
+def holding(lexicon, test: Callable[[Lexicon, str], bool]):
+    """How many documents of a task hold each word that passes a test."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Lexicon = lexicon.value
         x.ready()
         found: Counter = Counter()
         for _, texts in chunks(batches):
             for t in texts:
-                found.update({w for token in set(t.split()) if x.near(w := bare(token))})
+                found.update({w for token in set(t.split()) if test(x, w := bare(token))})
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
 
     return run
@@ -312,8 +325,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     q = dict(count(rows.where("toxic <= 0"), frozenset(p)).collect())
     terms = chosen({f: (n, q.get(f, 0)) for f, n in p.items()}, toxic, clean)
     first = spark.sparkContext.broadcast(Lexicon(terms))
-    innocent = rows.where("toxic <= 0").select("text").mapInArrow(nearby(first), COUNTS).groupBy("feature").agg(F.sum("n").alias("n"))
-    return Lexicon(terms, [r[0] for r in innocent.orderBy(F.desc("n"), "feature").limit(INNOCENT).collect()])
+    covered = [r[0] for r in rows.where("toxic > 0").select("text").mapInArrow(holding(first, lambda x, w: x.begun(w) != ""), COUNTS).select("feature").distinct().collect()]
+    second = spark.sparkContext.broadcast(Lexicon(terms, covered=covered))
+    innocent = rows.where("toxic <= 0").select("text").mapInArrow(holding(second, Lexicon.near), COUNTS).groupBy("feature").agg(F.sum("n").alias("n"))
+    return Lexicon(terms, [r[0] for r in innocent.orderBy(F.desc("n"), "feature").limit(INNOCENT).collect()], covered)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

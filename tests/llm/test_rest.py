@@ -278,3 +278,24 @@ def test_sf_accuracy(spark):
         pytest.skip("no tables here")
     rows = QUERIES["op1_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.94
+
+
+def test_misspelt_inflections_and_short_terms(spark):
+    x = toxicity.Lexicon({"idiot*": 3.0, "scum": 3.0}, ["scam"], ["idiot", "idiots", "idiotic"])
+    x.ready()
+    weights = {w: x.judge(w) for w in ("idiots", "idiotas", "idoit", "ideot", "idoits", "idoitic", "scmu", "skum", "scm", "scam", "idle", "sc")}
+    full, less = 3.0, toxicity.MISSPELT * 3.0
+    assert weights == {"idiots": full, "idiotas": full, "idle": 0, "scam": 0, "sc": 0} | dict.fromkeys(["idoit", "ideot", "idoits", "idoitic", "scmu", "skum", "scm"], pytest.approx(less))
+    # learned, end to end: a term with inflections, and a short one
+    rng = random.Random(9)
+    texts, labels = [], []
+    for k in range(400):
+        w = prose(rng, 40, 2000).split()
+        if k % 3 == 0:
+            w[7:7] = [rng.choice(["dunder", "dunders", "dunderish"]), "zorg"]
+        texts.append(" ".join(w))
+        labels.append((k, int(k % 3 == 0)))
+    plain = prose(rng, 40, 2000).split()
+    texts += [" ".join([*plain[:9], *bad, *plain[9:]]) for bad in (["dudner", "dundrish"], ["zrog", "dunbers"], ["zorge", "xorg"], [])]
+    rows = {r.doc_id: r for r in toxicity.judged(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id >= 400").collect()}
+    assert [(rows[k].n_hits, rows[k].predicted) for k in range(400, 404)] == [(2, 1)] * 3 + [(0, 0)]
