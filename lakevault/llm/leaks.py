@@ -1,8 +1,10 @@
 """Benchmark decontamination: which documents hold which test items.
 
 The search is for containment: at least THRESHOLD of an item's distinct word shingles are in the document. Items are short
-and documents may be long, so that their similarity as sets is tiny. Hence size partitions: items are put in classes of
-size up to U = 16, 32, 64, ... shingles, and for each class a document becomes overlapping windows of 2 U shingles, one
+and documents may be long, so that their similarity as sets is tiny. Items of up to SHORT shingles are looked up exactly:
+a document that has enough of an item has one of any n - least + 1 of its n shingles, so those that fewest items have are
+looked for in the whole text. Longer items have size partitions: they are put in classes of size up to U = 32, 64, ...
+shingles, and for each class a document becomes overlapping windows of 2 U shingles, one
 for every U. A passage of U shingles then lies in one window whole, at a similarity of 0.19 or more, at any length of the
 document. A window and an item are a candidate if one of HASHES MinHash values agrees; 0.81^64 = 1e-6 is the chance that
 none does, for an item at the lower end of its class of which only 0.8 is left. Each candidate is verified exactly on the
@@ -13,8 +15,8 @@ Items are read in blocks whose number follows from their count and words, and on
 are not shuffled, and a passage that a third of all documents hold is nobody's group.
 
 Defined results: an item or a text of fewer than five words is one shingle of all its words; items and texts without words
-match nothing; repeated rows, ids and items give repeated pairs; null ids stay null; a passage scattered over a document
-is found if a window holds enough of it; empty tables give no pairs.
+match nothing; repeated rows, ids and items give repeated pairs; null ids stay null; a passage of an item of over SHORT
+shingles that is scattered over a document is found if a window holds enough of it; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -32,23 +34,26 @@ from lakevault.llm.shards import U64
 from lakevault.llm.shingles import Shingles, chunks, multipliers
 
 THRESHOLD, HASHES = 0.8, 64
-#: The smallest size class, and items and their words in a block at most, about.
-SMALLEST, BLOCK_ITEMS, BLOCK_WORDS = 16, 20_000, 1 << 21
+#: Shingles of an item that is looked up exactly, the smallest size class, and items and their words in a block at most, about.
+SHORT, SMALLEST, BLOCK_ITEMS, BLOCK_WORDS = 16, 32, 20_000, 1 << 21
 PAIRS = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 ARROW_PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
 
 
 class Items:
-    """The items of a block: their shingles, and by size class, hash function and MinHash value."""
+    """The items of a block: their shingles, the rarest ones of short items, and the others by size class, hash function and MinHash value."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, threshold: float = THRESHOLD):
         s = Shingles([t or "" for t in texts])
         self.ids = [i for i, n in zip(ids, s.n_words.tolist(), strict=True) if n]
         self.sets = [s.distinct(k) for k in np.flatnonzero(s.n_words).tolist()]
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
+        short = [k for k, x in enumerate(self.sets) if len(x) <= SHORT]
+        self.rare = rarest([self.sets[k] for k in short], np.array(short, np.int64), threshold)
         for k, x in enumerate(self.sets):
-            by.setdefault(max(SMALLEST, 1 << (len(x) - 1).bit_length()), []).append(k)
+            if len(x) > SHORT:
+                by.setdefault(max(SMALLEST, 1 << (len(x) - 1).bit_length()), []).append(k)
         ms = multipliers(HASHES)
         for size, ks in by.items():
             values = np.stack([((self.sets[k][None, :] * ms[:, None]) >> U64(32)).astype(np.uint32).min(1) for k in ks], 1)
@@ -62,6 +67,24 @@ class Items:
                 self.seen[size][k, values[k] & 0xFFFF] = True
 
 
+def rarest(sets: list[np.ndarray], which: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, and the item of each: of each item as many that no text without any of them has enough of it."""
+    if not sets:
+        return np.empty(0, U64), np.empty(0, np.int64)
+    sizes = np.array([len(x) for x in sets])
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    freq, first = count[at], np.cumsum(sizes) - sizes
+    keys, items = [], []
+    for x, a, k in zip(sets, first.tolist(), which.tolist(), strict=True):
+        least = next((m for m in range(1, len(x)) if m >= threshold * len(x)), len(x))
+        some = x[np.argsort(freq[a : a + len(x)], kind="stable")[: len(x) - least + 1]]
+        keys.append(some)
+        items.append(np.full(len(some), k))
+    key, item = np.concatenate(keys), np.concatenate(items)
+    order = np.argsort(key, kind="stable")
+    return key[order], item[order]
+
+
 def windows(begin: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's blocks of this size begin, and the text of each."""
     n = -(-(end - begin) // size)
@@ -71,10 +94,19 @@ def windows(begin: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def candidates(s: Shingles, items: Items) -> set[tuple[int, int]]:
-    """(text, item) pairs of which one MinHash value agrees in some window."""
+    """(text, item) pairs of which a rare shingle of a short item, or one MinHash value in some window, agrees."""
     found: set[tuple[int, int]] = set()
     sizes = sorted(items.classes)
-    if not len(s.hash) or not sizes:
+    if not len(s.hash):
+        return found
+    key, item = items.rare
+    if len(key):
+        lo = np.searchsorted(key, s.hash, "left")
+        at = np.flatnonzero(key[np.minimum(lo, len(key) - 1)] == s.hash)
+        lo, hi, text = lo[at], np.searchsorted(key, s.hash[at], "right"), np.searchsorted(s.end, at, "right")
+        for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            found.update((t, int(i)) for i in item[a:b])
+    if not sizes:
         return found
     levels, size = [], SMALLEST
     while size <= sizes[-1]:
@@ -128,7 +160,7 @@ def searching(shared, threshold: float):
     return run
 
 
-def blocks(items: DataFrame) -> Iterator:
+def blocks(items: DataFrame, threshold: float = THRESHOLD) -> Iterator:
     """The items, in broadcasts of a bounded size each."""
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -138,14 +170,14 @@ def blocks(items: DataFrame) -> Iterator:
         items = saved(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count))), "items")
     for k in range(count):
         rows = (items.where(F.col("block") == k) if count > 1 else items).select("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+        yield spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], threshold))
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment: a row for each document that holds an item of items (item_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for shared in blocks(items):
+    for shared in blocks(items, threshold):
         one = docs.mapInArrow(searching(shared, threshold), PAIRS)
         found = one if found is None else found.unionByName(one)
     return found
@@ -162,7 +194,7 @@ def kept(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Dat
 
         return run
 
-    for shared in blocks(items):
+    for shared in blocks(items, threshold):
         docs = docs.mapInArrow(clean(shared), docs.schema)
     return docs
 

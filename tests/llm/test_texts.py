@@ -129,3 +129,25 @@ def test_leaks(spark, monkeypatch):
     kept = {r.doc_id for r in leaks.kept(docs, table).collect()}
     assert kept == set(range(len(texts))) - {d for d, *_ in want}
     assert leaks.leaks(docs.limit(0), table).collect() == [] == leaks.leaks(docs, table.limit(0)).collect()
+
+
+def test_leaks_of_short_items():
+    rng = random.Random(31)
+    items = [prose(rng, n, 100_000) for n in range(1, 25) for _ in range(25)]
+    texts = items + [" ".join([prose(rng, 200), t, prose(rng, 200)]) for t in items]
+    few = leaks.Items(list(range(len(items))), items)
+    got = {(t, i, n, both) for t, i, n, both in leaks.verified(leaks.Shingles(texts), few, 0.8)}
+    sets = [shingles(t) for t in items]
+    want = set()
+    for t, text in enumerate(texts):
+        has = shingles(text)
+        want |= {(t, i, len(s), len(s & has)) for i, s in enumerate(sets) if len(s & has) >= 0.8 * len(s)}
+    assert len(want) >= 1100 and got == want
+    # scattered, and at any threshold
+    one = words(items[-200])
+    apart = " ".join([*one[:9], prose(rng, 100), *one[5:]])
+    for threshold in (0.1, 0.5, 0.8, 1.0):
+        some = leaks.Items([7], [items[-200]], threshold)
+        for text in (apart, " ".join(one[:8]), items[0]):
+            share = len(sets[-200] & shingles(text)) / len(sets[-200])
+            assert len(list(leaks.verified(leaks.Shingles([text]), some, threshold))) == (share >= threshold)
