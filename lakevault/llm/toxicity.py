@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon, matched through Levenshtein automata, and scored in its context.
 
 Learning, from labelled rows alone: of at most SAMPLE labelled documents (those of least hash, a documented bound), words
-and word beginnings that the toxic ones hold far more often than the others make the lexicon; of near copies one counts. Of beginnings that say
-the same the longest is taken. Words that clean documents of the sample hold are no misspellings, however near they come.
+and word beginnings that the toxic ones hold far more often than the others make the lexicon, however many; of near copies one
+counts. Of beginnings that say the same the longest is taken. Words that clean documents of the sample hold are no misspellings, however near they come.
 
 Matching: the lexicon's words, and the words of toxic documents of the sample that its beginnings cover, are a trie; its
 product with Levenshtein automata (one edit for terms of 4 letters on, two from 9 on, and for a covered word as for its
@@ -35,8 +35,8 @@ from lakevault.llm.components import components
 from lakevault.llm.ngram_join import SIGNED, banded, signed
 from lakevault.llm.shingles import chunks
 
-#: Labelled documents that the lexicon is learned from, candidates that are looked at, and terms and innocent words kept, at most.
-SAMPLE, CANDIDATES, TERMS, INNOCENT = 20_000, 50_000, 4_096, 20_000
+#: Labelled documents that the lexicon is learned from, at most.
+SAMPLE = 20_000
 #: A term's least log-likelihood ratio, the least part of the documents with it that are toxic, and the most that one hit may score.
 EVIDENCE, PRECISION, SURE = 12.0, 0.6, 0.95
 SHORTEST, LONGEST = 3, 12
@@ -257,30 +257,36 @@ def chosen(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[s
         p, q = counts[f]
         out[f] = -math.log(1 - min(SURE, p / (p + q + 1)))
         taken.update(stem[:k] for k in range(SHORTEST, len(stem) + 1))
-        if len(out) >= TERMS:
-            break
     return out
 
 
-COUNTS = "feature string, n long"
+COUNTS, SIDES = "feature string, n long", "feature string, p long, q long"
 
 
-def counted(only: frozenset | None):
-    """How many documents of a task hold each feature (of only, if given)."""
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and clean documents (bad, text) of a task hold each feature."""
+    p: Counter = Counter()
+    q: Counter = Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
-        for _, texts in chunks(batches):
-            for t in texts:
-                x = features(t)
-                found.update(x if only is None else x & only)
-            if len(found) > HELD:
-                yield out()
-                found.clear()
-        yield out()
+    def out() -> pa.RecordBatch:
+        found = list(p.keys() | q.keys())
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([x[f] for f in found], pa.int64()) for x in (p, q))], names=["feature", "p", "q"])
 
-    return run
+    for batch, texts in chunks(batches):
+        for bad, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+            (p if bad else q).update(features(t))
+        if len(p) + len(q) > HELD:
+            yield out()
+            p.clear()
+            q.clear()
+    yield out()
+
+
+def telling(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The features among counts (feature, p, q) that may be terms: those whose evidence falls short by rounding alone are let through."""
+    rate, p, q, n = toxic / (toxic + clean), F.col("p"), F.col("q"), F.col("p") + F.col("q")
+    found = p * F.log(p / (n * rate)) + F.when(q > 0, q * F.log(q / (n * (1 - rate)))).otherwise(0.0)
+    return counts.where((p >= 3) & (p / n >= PRECISION) & (p > n * rate) & (found >= EVIDENCE - 1e-6))
 
 
 def holding(lexicon, test: Callable[[Lexicon, str], bool]):
@@ -320,15 +326,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic or not clean:
         return Lexicon({})
-    count = lambda df, only: df.select("text").mapInArrow(counted(only), COUNTS).groupBy("feature").agg(F.sum("n").alias("n"))
-    p = dict(count(rows.where("toxic > 0"), None).where("n >= 3").orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect())
-    q = dict(count(rows.where("toxic <= 0"), frozenset(p)).collect())
-    terms = chosen({f: (n, q.get(f, 0)) for f, n in p.items()}, toxic, clean)
+    counts = rows.select((F.col("toxic") > 0).alias("bad"), "text").mapInArrow(counted, SIDES).groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    terms = chosen({f: (p, q) for f, p, q in telling(counts, toxic, clean).collect()}, toxic, clean)
     first = spark.sparkContext.broadcast(Lexicon(terms))
     covered = [r[0] for r in rows.where("toxic > 0").select("text").mapInArrow(holding(first, lambda x, w: x.begun(w) != ""), COUNTS).select("feature").distinct().collect()]
     second = spark.sparkContext.broadcast(Lexicon(terms, covered=covered))
-    innocent = rows.where("toxic <= 0").select("text").mapInArrow(holding(second, Lexicon.near), COUNTS).groupBy("feature").agg(F.sum("n").alias("n"))
-    return Lexicon(terms, [r[0] for r in innocent.orderBy(F.desc("n"), "feature").limit(INNOCENT).collect()], covered)
+    innocent = rows.where("toxic <= 0").select("text").mapInArrow(holding(second, Lexicon.near), COUNTS).select("feature").distinct()
+    return Lexicon(terms, [r[0] for r in innocent.collect()], covered)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -299,3 +299,20 @@ def test_misspelt_inflections_and_short_terms(spark):
     texts += [" ".join([*plain[:9], *bad, *plain[9:]]) for bad in (["dudner", "dundrish"], ["zrog", "dunbers"], ["zorge", "xorg"], [])]
     rows = {r.doc_id: r for r in toxicity.judged(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id >= 400").collect()}
     assert [(rows[k].n_hits, rows[k].predicted) for k in range(400, 404)] == [(2, 1)] * 3 + [(0, 0)]
+
+
+def test_rare_sure_terms_among_many_common_words(spark):
+    # 60,000 words of 3 digits' length and more that 12 of 20 toxic documents hold come before a term that only 9 hold
+    common = " ".join(f"{k:05d}x" for k in range(60_000))
+    texts = [common + (" zorgul" if k < 9 else "") if k < 12 else f"other{k} zebra{k}" for k in range(20)] + [f"plain{k} words here" for k in range(160)] + [common] * 12
+    rng = random.Random(3)
+    texts = [t + " " + prose(rng, 30, 10**6) for t in texts]
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(len(texts))], "doc_id long, toxic int")
+    docs = frame(spark, texts)
+    whole = lambda rows: rows
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "without_copies", whole)  # the common words make near copies
+        terms = toxicity.learn(docs, labels).terms
+    assert any("zorgul".startswith(t.rstrip("*")) for t in terms)
+    counts = spark.createDataFrame([("a", 9, 0), ("b", 2, 0), ("c", 6, 5), ("d", 9, 5), ("e", 3, 0)], "feature string, p long, q long")
+    assert [r.feature for r in toxicity.telling(counts, 100, 900).collect()] == [f for f, p, q in counts.collect() if p >= 3 and p / (p + q) >= toxicity.PRECISION and toxicity.evidence(p, q, 100, 900) >= toxicity.EVIDENCE]
