@@ -31,8 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakevault.llm.common import saved, table
-from lakevault.llm.components import components
-from lakevault.llm.ngram_join import SIGNED, banded, signed
+from lakevault.llm.ngram_join import joined
 from lakevault.llm.shingles import chunks
 
 #: Labelled documents that the lexicon is learned from, at most.
@@ -305,13 +304,10 @@ def holding(lexicon, test: Callable[[Lexicon, str], bool]):
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """One of each group of near copies with a like label, so that words of much copied texts are no evidence. rows: id, toxic, text of the sample."""
-    signatures = rows.select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(signed, SIGNED).where("n > 0")
-    bands = saved(signatures.select("doc_id", "sig").mapInArrow(banded, "key long, cid long"), "sample-bands")
-    least = bands.groupBy("key").agg(F.min("cid").alias("low"), F.count("*").alias("n")).where("n > 1")
-    tree = components(bands.join(least, "key").select("cid", "low"))
-    grouped = rows.select("id", "toxic").join(tree, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root"), F.col("toxic") > 0).agg(F.min("id").alias("id"))
-    return rows.join(grouped.select("id"), "id", "left_semi")
+    """One of each group of near copies, by the verified links of the n-gram join, with a like label, so that words of much copied texts are no evidence. rows: id, toxic, text of the sample."""
+    groups = joined(rows.select(F.col("id").alias("doc_id"), "text")).select(F.col("doc_id").alias("id"), "group_id")
+    least = rows.select("id", "toxic").join(groups, "id").groupBy("group_id", F.col("toxic") > 0).agg(F.min("id").alias("id"))
+    return rows.join(least.select("id"), "id", "left_semi")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:

@@ -316,3 +316,14 @@ def test_rare_sure_terms_among_many_common_words(spark):
     assert any("zorgul".startswith(t.rstrip("*")) for t in terms)
     counts = spark.createDataFrame([("a", 9, 0), ("b", 2, 0), ("c", 6, 5), ("d", 9, 5), ("e", 3, 0)], "feature string, p long, q long")
     assert [r.feature for r in toxicity.telling(counts, 100, 900).collect()] == [f for f, p, q in counts.collect() if p >= 3 and p / (p + q) >= toxicity.PRECISION and toxicity.evidence(p, q, 100, 900) >= toxicity.EVIDENCE]
+
+
+def test_only_verified_copies_are_left_out(spark):
+    rng = random.Random(6)
+    shared = prose(rng, 40, 10**6)
+    texts = [f"{shared} {prose(rng, 40, 10**6)}" for _ in range(40)]
+    copy = texts[0].split()
+    copy[60] = "changed"
+    rows = [(k, int(k % 2), t) for k, t in enumerate(texts)] + [(40, 0, " ".join(copy)), (41, 1, texts[0]), (42, 2, texts[0]), (43, 0, ""), (44, 0, "")]
+    left = toxicity.without_copies(spark.createDataFrame(rows, "id long, toxic int, text string")).collect()
+    assert sorted(r.id for r in left) == [*range(40), 41, 43, 44]
