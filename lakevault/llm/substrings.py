@@ -15,7 +15,6 @@ one space between (n_words, n_removed and kept_sha256 always describe the kept w
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakevault.llm.common import table
-from lakevault.llm.shards import ARROW_KEYS, BUCKET_KEYS, KEYS, Keys, Shard, covered, exchanged, rows_of, sharded
+from lakevault.llm.shards import KEYS, Keys, Shard, Tree, covered, rows_of, sharded
 from lakevault.llm.words import Words, run_hashes
 
 WINDOW = 35
@@ -55,7 +54,7 @@ class Windows:
         p = period(self.window)
         n, length = len(self.words), self.window - p + 1
         at = np.flatnonzero(np.isin(np.arange(p), COVERS[p])[np.arange(n) % p] & (self.ends - np.arange(n) >= length))
-        return at, Keys(run_hashes(self.words.hash, length)[at])
+        return at, Keys([run_hashes(self.words.hash, length)[at]])
 
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, Keys]:
         """Windows that a shared anchor lies in, at an offset below the period, and their keys."""
@@ -64,29 +63,28 @@ class Windows:
         sums[1 : n + 1][shared] = 1
         sums = np.cumsum(sums)
         at = np.flatnonzero((sums[p : n + p] > sums[:n]) & (self.ends - np.arange(n) >= self.window))
-        a, b = (run_hashes(self.words.hash, self.window, k)[at] for k in (0, 1))
-        return at, Keys(a, b)
+        return at, Keys([run_hashes(self.words.hash, self.window, k)[at] for k in (0, 1)])
 
 
 def deduplicated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with text shortened, and n_words, n_removed, kept_sha256."""
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     shards = sharded(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), text)
-    bytes_ = shards.agg(F.sum("n_bytes")).first()[0] or 0
     p = period(window)
-    buckets = max(1, math.ceil(bytes_ / 6 * len(COVERS[p]) / p / BUCKET_KEYS))
+    tree = Tree(shards, len(COVERS[p]) / p / 6)
+    ranges = tree.ranges
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             _, keys = Windows(Shard(row, 0x0A), window).anchors()
-            yield pa.RecordBatch.from_pydict(keys.rows(row["shard"], buckets), ARROW_KEYS)
+            yield keys.rows(row["shard"], ranges)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             x = Windows(Shard(row, 0x0A), window)
             at, keys = x.anchors()
-            _, keys = x.candidates(at[keys.answers(row["hits"], buckets)[keys.place] > 0])
-            yield pa.RecordBatch.from_pydict(keys.rows(row["shard"], buckets), ARROW_KEYS)
+            _, keys = x.candidates(at[keys.verdicts(row["hits"], ranges) > 0])
+            yield keys.rows(row["shard"], ranges)
 
     fields = [f for f in docs.schema if f.name != text]
     out = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields])
@@ -96,18 +94,18 @@ def deduplicated(docs: DataFrame, text: str = "text", window: int = WINDOW) -> D
         for row in rows_of(batches):
             x = Windows(Shard(row, 0x0A), window)
             at, keys = x.anchors()
-            at, keys = x.candidates(at[keys.answers(row["hits"], buckets)[keys.place] > 0])
+            at, keys = x.candidates(at[keys.verdicts(row["hits"], ranges) > 0])
             marked = np.zeros(len(x.words), bool)
-            marked[at[keys.answers(row["more"], buckets)[keys.place] > 0]] = True
+            marked[at[keys.verdicts(row["more"], ranges) > 0]] = True
             texts, more = shortened(x, covered(marked, window))
             others = x.shard.others()
             columns = {f.name: others[f.name] for f in fields} | {text: pa.array(texts, pa.string())} | more
             t = pa.table([columns[n] for n in arrow.names], names=arrow.names).cast(arrow)
             yield from t.combine_chunks().to_batches()
 
-    hits = exchanged(shards.mapInArrow(first, KEYS))
+    hits = tree.answers(shards.mapInArrow(first, KEYS))
     one = shards.join(hits.hint("shuffle_hash"), "shard", "left")
-    more = exchanged(one.where(F.col("hits").isNotNull()).mapInArrow(second, KEYS)).withColumnRenamed("hits", "more")
+    more = tree.answers(one.where(F.col("hits").isNotNull()).mapInArrow(second, KEYS)).withColumnRenamed("hits", "more")
     return one.join(more.hint("shuffle_hash"), "shard", "left").mapInArrow(third, out)
 
 

@@ -6,13 +6,14 @@ A byte is removed if a string of LENGTH bytes covers it that also starts anywher
    that are still equal, by the rank of the suffix a doubled distance on. Kasai's common prefixes of neighbours follow in
    text order: where the bytes before a suffix and before its neighbour agree, the length is one less than the one before,
    elsewhere bytes are compared. A prefix of LENGTH or more marks both starts.
-2. Across shards, equal strings meet by content. Each LENGTH-byte string selects one of its SEED-byte grams, the one with the
-   least hash; equal strings select the same one. Shards exchange the sorted hashes of selected grams; which of them several
-   shards have is found by merging and binary search. Only for those a shard sends the stretches of text whose strings
-   select the gram. A merge bucket joins equal stretches into one, which marks them whole, and sorts the others by a suffix
-   array of their own, as above, so that strings which several stretches share are neighbours.
-3. A gram with more than HOT stretches may belong to a passage that a third of all documents share: its strings are not sent
-   to one bucket but exchanged one by one by 128-bit hashes, dealt out evenly.
+2. Across shards, equal strings meet at anchors. Of the SEED-byte grams in a LENGTH-byte string the one with the least hash is
+   its anchor; equal strings have the same one at the same place. The suffixes at anchors, cut to SEED bytes, are a shard's
+   run: they are taken in the order of its suffix array. Runs of all shards are merged by binary search, up a tree, a range
+   at a time; equal neighbours say which anchors several shards have, and whether their stretches, the texts of all strings
+   with that anchor, are all the same. If so, all these strings repeat, and nothing more is sent.
+3. Where stretches differ, runs are refined and merged again: of blocks of strings by what all strings of a block have in
+   common, and, where blocks still differ, of the strings themselves, by 128 bits of each. Both go up the same tree. A
+   passage that a third of all documents share is one key a shard, and one key from there on.
 
 Defined results: null texts are empty and lose nothing; strings never span documents; repeated rows are documents of their
 own, so their strings repeat; texts of any length are taken whole, in pieces that overlap; an empty table gives no rows;
@@ -22,7 +23,6 @@ columns named like an added one are replaced, others pass through, without the t
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +33,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakevault.llm.common import pinned, saved, table
-from lakevault.llm.shards import ARROW_KEYS, BUCKET_KEYS, KEYS, U64, Keys, Shard, covered, exchanged, lexical, mixed, rows_of, sharded
+from lakevault.llm.shards import ARROW_KEYS, KEYS, U64, Keys, Run, Shard, Tree, covered, mixed, rows_of, sharded
 
 LENGTH, SEED = 200, 32
 #: Bytes in a shard, and in one suffix array at most: rank, rank and place of a suffix must fit 64 bits.
 SHARD, ARRAY = (1 << 20) - (1 << 14), (1 << 20) - 1
 BITS = 20
-HOT = 1024
-#: Bytes of stretches in a merge bucket, about.
-MERGE_BYTES = 2 << 20
+#: A block is a part of a string's length in strings.
+BLOCKS = 6
 SEPARATOR = 0xFF  # no byte of UTF-8
 ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -126,12 +125,12 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np
     return before, np.where(before >= 0, np.maximum(start[latest] - (places - latest), 0), 0)
 
 
-def repeated(text: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def repeated(text: np.ndarray, order: np.ndarray, room: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which starts of strings of this length, among those with room for one, some other start equals."""
     out = np.zeros(len(text), bool)
     if len(text) < 2 or not room.any():
         return out
-    before, common = common_prefixes(text, suffix_array(text))
+    before, common = common_prefixes(text, order)
     at = np.flatnonzero((common >= length) & room)
     out[at] = True
     out[before[at]] = True
@@ -153,16 +152,27 @@ class Pieces:
         step = ARRAY - length + 1
         self.cuts = [(a, min(a + step, n), min(a + ARRAY, n)) for a in range(0, n, step)]
 
-    def own(self) -> np.ndarray:
+    def own(self, anchors: np.ndarray, detail: np.ndarray) -> tuple[np.ndarray, Run]:
+        """Marked starts, by each piece's suffix array and common prefixes; and the run of the suffixes at anchors, in that order."""
         marked = np.zeros(len(self.shard.buf), bool)
-        for a, b, c in self.cuts:
-            marked[a:c] |= repeated(self.shard.buf[a:c], self.room[a:c] & (np.arange(a, c) + self.length <= c), self.length)
-        return marked
+        runs = [Keys(prefixes(self.shard.buf, anchors[:0])).run]
+        for k, (a, _, c) in enumerate(self.cuts):
+            text, room = self.shard.buf[a:c], self.room[a:c] & (np.arange(a, c) + self.length <= c)
+            if not room.any():
+                continue
+            order = suffix_array(text)
+            marked[a:c] |= repeated(text, order, room, self.length)
+            mine = np.flatnonzero(self.piece == k)
+            which = np.full(c - a, -1, np.int64)
+            which[anchors[mine] - a] = np.arange(len(mine))
+            found = which[order]
+            runs.append(Keys(prefixes(self.shard.buf, anchors[mine]), detail[mine], np.zeros(len(mine)), found[found >= 0]).run)
+        return marked, Run.together(runs)
 
     def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of starts that select the same gram: first start, last start, the gram's hash."""
-        firsts, lasts, hashes = [], [], []
-        for a, b, c in self.cuts:
+        """Runs of starts with the same anchor: first start, last start, the anchor's place. self.piece: which piece each is of."""
+        firsts, lasts, anchors, pieces = [], [], [], []
+        for piece, (a, b, c) in enumerate(self.cuts):
             text, room = self.shard.buf[a:c], self.room[a:b]
             if not room.any():
                 continue
@@ -188,72 +198,18 @@ class Pieces:
             head = np.flatnonzero(new)
             firsts.append(at[head] + a)
             lasts.append(at[np.append(head[1:], len(at)) - 1] + a)
-            # the least of many hashes is a small number: mixed again, it is spread over the buckets
-            hashes.append(mixed(gram[chosen[head]] + U64(1)))
-        empty = np.empty(0, np.int64)
-        return np.concatenate([empty, *firsts]), np.concatenate([empty, *lasts]), np.concatenate([np.empty(0, U64), *hashes])
+            anchors.append(chosen[head] + a)
+            pieces.append(np.full(len(head), piece))
+        whole = lambda x: np.concatenate([np.empty(0, np.int64), *x])
+        self.piece = whole(pieces)
+        return whole(firsts), whole(lasts), whole(anchors)
 
 
-#: Rows of the first step are keys, and for each shard one row with bucket -1: a, b: first starts and ends of runs of marked starts.
 def runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(marked.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1).astype(np.int64), np.flatnonzero(edge == -1).astype(np.int64)
 
 
-SENT = "bucket int, shard long, keys binary, begins binary, counts binary, texts binary, n_texts long, b binary"
-ARROW_SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("begins", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary()), ("n_texts", pa.int64()), ("b", pa.binary())])
-MARKS = "shard long, begins binary, ends binary"
-ARROW_MARKS = pa.schema([("shard", pa.int64()), ("begins", pa.binary()), ("ends", pa.binary())])
-
-
-def sent(x: Pieces, verdicts: np.ndarray, keys: Keys, firsts: np.ndarray, lasts: np.ndarray, merge: int, single: int) -> dict[str, list]:
-    """Stretches of shared grams for the merge buckets 0.., strings of hot ones by hash for the buckets -1.."""
-    out: dict[str, list] = {n: [] for n in ARROW_SENT.names}
-    shard, length = x.shard, x.length
-    verdict = verdicts[keys.place]
-    grams = keys.a[keys.place]
-    whole = shard.buf.tobytes()
-    ends = [b for _, b, _ in x.cuts]
-    seen: set[tuple[int, int, bytes]] = set()
-    chosen: list[tuple[int, int, int, bytes]] = []
-    at = np.flatnonzero(verdict == 1)
-    at = at[np.argsort(grams[at], kind="stable")]
-    pieces = np.searchsorted(ends, firsts[at], "right")
-    for g, f, e, piece in zip(grams[at].tolist(), firsts[at].tolist(), lasts[at].tolist(), pieces.tolist(), strict=True):
-        text = whole[f : e + length]
-        if (g, piece, text) not in seen:  # a second one in this piece is marked by its own suffix array
-            seen.add((g, piece, text))
-            chosen.append((g, f, len(text), text))
-    if chosen:
-        g = np.array([c[0] for c in chosen], U64)
-        edges = np.array([-(-(k << 64) // merge) for k in range(1, merge)], dtype=U64)
-        cuts = np.concatenate([[0], np.searchsorted(g, edges), [len(g)]])
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            mine = chosen[cuts[k] : cuts[k + 1]]
-            texts = b"".join(c[3] for c in mine)
-            row = (k, shard.number, g[cuts[k] : cuts[k + 1]].tobytes(), np.array([c[1] for c in mine], np.int64).tobytes(), np.array([c[2] for c in mine], np.int64).tobytes(), pa.compress(texts, "zstd", asbytes=True), len(texts), b"")
-            for n, v in zip(ARROW_SENT.names, row, strict=True):
-                out[n].append(v)
-    hot = np.flatnonzero(verdict == 3)
-    if len(hot):
-        lens = lasts[hot] - firsts[hot] + 1
-        starts = np.repeat(firsts[hot] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        a, b = string_hashes(shard.buf, starts, length)
-        one = Keys(a, b)
-        if len(ends) > 1:  # twins may be in different pieces
-            one.a, one.b = a[order := lexical(a, b)], b[order]
-            begins = starts[order]
-        else:
-            begins = starts[one.first]
-        cuts = one.cuts(single)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            c = slice(cuts[k], cuts[k + 1])
-            row = (-1 - k, shard.number, one.a[c].tobytes(), begins[c].tobytes(), b"", b"", 0, one.b[c].tobytes())
-            for n, v in zip(ARROW_SENT.names, row, strict=True):
-                out[n].append(v)
-    return out
-
-
 def string_hashes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of the strings at these starts."""
     words = words_at(text)
@@ -265,133 +221,129 @@ def string_hashes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     return a, b
 
 
-def merged(length: int):
-    """The runs of marked starts, for each shard that has sent stretches or strings to this bucket."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        found = strings(rows) if key[0].as_py() < 0 else stretches(rows, length)
-        return pa.table({"shard": [s for s, _, _ in found], "begins": [b.astype(np.int64).tobytes() for _, b, _ in found], "ends": [e.astype(np.int64).tobytes() for _, _, e in found]}, ARROW_MARKS)
-
-    return run
-
-
-def strings(rows: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    lists = [np.frombuffer(x, U64) for x in rows["keys"].to_pylist()]
-    a, b = np.concatenate(lists), np.concatenate([np.frombuffer(x, U64) for x in rows["b"].to_pylist()])
-    order = lexical(a, b)
-    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    twin = np.zeros(len(a), bool)
-    twin[order[1:][same]] = True
-    twin[order[:-1][same]] = True
-    out, at = [], 0
-    for shard, x, begins in zip(rows["shard"].to_pylist(), lists, rows["begins"].to_pylist(), strict=True):
-        mine = np.frombuffer(begins, np.int64)[twin[at : at + len(x)]]
-        at += len(x)
-        if len(mine):
-            out.append((shard, mine, mine + 1))
-    return out
-
-
-def stretches(rows: pa.Table, length: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-    for r in rows_of(rows.to_batches()):
-        text = pa.decompress(r["texts"], r["n_texts"], "zstd", asbytes=True)
-        at = 0
-        for g, begin, n in zip(np.frombuffer(r["keys"], U64).tolist(), np.frombuffer(r["begins"], np.int64).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True):
-            groups.setdefault(g, {}).setdefault(text[at : at + n], []).append((r["shard"], begin))
-            at += n
-    marks: dict[int, list[tuple[int, int]]] = {}
-
-    def mark(owners: list[tuple[int, int]], a: int, b: int) -> None:
-        for shard, begin in owners:
-            marks.setdefault(shard, []).append((begin + a, begin + b))
-
-    batch: list[tuple[bytes, list]] = []
-    size = 0
-
-    def flush() -> None:
-        text = np.frombuffer(b"\xff".join(t for t, _ in batch) + b"\xff", np.uint8)
-        lens = np.array([len(t) for t, _ in batch])
-        begins = np.cumsum(lens + 1) - lens - 1
-        change = np.zeros(len(text) + 1, np.int8)
-        change[begins] += 1
-        change[begins + lens - length + 1] -= 1
-        begin, end = runs(repeated(text, np.cumsum(change[:-1], dtype=np.int8) > 0, length))
-        of = np.searchsorted(begins, begin, "right") - 1
-        for k, a, b in zip(of.tolist(), begin.tolist(), end.tolist(), strict=True):
-            mark(batch[k][1], a - begins[k], b - begins[k])
-
-    for texts in groups.values():
-        for t, owners in texts.items():
-            if len(owners) > 1:  # the same stretch in several shards
-                mark(owners, 0, len(t) - length + 1)
-        if len(texts) > 1:
-            n = sum(len(t) + 1 for t in texts)
-            if batch and size + n > ARRAY:
-                flush()
-                batch, size = [], 0
-            batch += texts.items()
-            size += n
-    if batch:
-        flush()
-    out = []
-    for shard, pairs in marks.items():
-        x = np.array(pairs, np.int64)
-        out.append((shard, x[:, 0], x[:, 1]))
-    return out
-
-
-def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def prefixes(text: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """The SEED bytes from each place on, as numbers that compare as the bytes do."""
+    words = words_at(text)
+    return [words[places + k].byteswap() for k in range(0, SEED, 8)]
+
+
+def spans_told(text: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, anchors: np.ndarray, length: int) -> np.ndarray:
+    """64 bits of the text of each run of starts, and of where it lies to its anchor: the first and the last string tell them."""
+    (a, b), (c, d) = (string_hashes(text, x, length) for x in (firsts, lasts))
+    place = ((anchors - firsts).astype(U64) << U64(32)) | (anchors - lasts).astype(U64)
+    return mixed(mixed(a ^ (b >> U64(1))) + c * U64(0x9E3779B97F4A7C15) + mixed(d + place)) | U64(1)
+
+
+def blocks(firsts: np.ndarray, lasts: np.ndarray, anchors: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Stretches cut into blocks of at most width starts, by distance to the anchor: stretch, first start, last start, number of the block."""
+    near, far = anchors - lasts, anchors - firsts
+    n = far // width - near // width + 1
+    of = np.repeat(np.arange(len(n)), n)
+    number = (near // width)[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return of, anchors[of] - np.minimum(far[of], number * width + width - 1), anchors[of] - np.maximum(near[of], number * width), number
+
+
+class Search:
+    """What a shard asks the others, step by step: about its anchors, about blocks where stretches differ, about strings where blocks do.
+
+    After each step the starts that it has settled are marked.
+    """
+
+    def __init__(self, shard: Shard, stretches: np.ndarray, length: int):
+        self.shard, self.length, self.width = shard, length, max(1, length // BLOCKS)
+        self.firsts, self.lasts, self.anchors, self.piece = stretches.astype(np.int64)
+        self.change = np.zeros(len(shard.buf) + 1, np.int32)
+
+    def mark(self, firsts: np.ndarray, lasts: np.ndarray) -> None:
+        np.add.at(self.change, firsts, 1)
+        np.add.at(self.change, lasts + 1, -1)
+
+    def of_anchors(self) -> Keys:
+        return Keys(prefixes(self.shard.buf, self.anchors), spans_told(self.shard.buf, self.firsts, self.lasts, self.anchors, self.length), self.piece)
+
+    def of_blocks(self, verdicts: np.ndarray) -> Keys:
+        self.mark(self.firsts[verdicts == 1], self.lasts[verdicts == 1])
+        open_ = np.flatnonzero(verdicts == 2)
+        of, self.low, self.high, number = blocks(self.firsts[open_], self.lasts[open_], self.anchors[open_], self.width)
+        anchors, self.part = self.anchors[open_][of], self.piece[open_][of]
+        # all strings of a whole block have these bytes in common, wherever a stretch cuts it off
+        a, b = string_hashes(self.shard.buf, anchors - number * self.width, self.length - self.width + 1)
+        return Keys([mixed(a + mixed(number.astype(U64) + U64(1))), b], spans_told(self.shard.buf, self.low, self.high, anchors, self.length), self.part)
+
+    def of_strings(self, verdicts: np.ndarray) -> Keys:
+        self.mark(self.low[verdicts == 1], self.high[verdicts == 1])
+        open_ = verdicts == 2
+        low, n = self.low[open_], (self.high - self.low + 1)[open_]
+        self.starts = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return Keys(list(string_hashes(self.shard.buf, self.starts, self.length)), None, np.repeat(self.part[open_], n))
+
+    def settled(self, verdicts: np.ndarray) -> None:
+        at = self.starts[verdicts > 0]
+        self.mark(at, at)
+
+
+def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """The other columns of docs, and n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept."""
     if length < SEED:
         raise ValueError(f"strings of at least {SEED} bytes are asked for")
     docs = docs.drop(*[f.name for f in T.StructType.fromDDL(ADDED) if f.name != text])
     shards = sharded(docs, text, SHARD)
-    total = shards.agg(F.sum("n_bytes")).first()[0] or 0
-    spacing = (length - SEED + 2) / 2
-    buckets = max(1, math.ceil(total / spacing / BUCKET_KEYS))
-    merge = max(1, math.ceil(total / MERGE_BYTES))
-    single = max(1, math.ceil(total / 16 / BUCKET_KEYS))
+    # anchors, blocks of nearly all strings, and a sixteenth of all strings
+    trees = [Tree(shards, x) for x in (2 / (length - SEED + 2), 2 * BLOCKS / length, 1 / 16)]
+    ranges = [t.ranges for t in trees]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            x = Pieces(Shard(row, SEPARATOR), length)
-            out = Keys(x.stretches()[2]).rows(row["shard"], buckets)
-            begin, end = runs(x.own())
-            for n, v in zip(("bucket", "shard", "a", "b", "value"), (-1, row["shard"], begin.tobytes(), end.tobytes(), b""), strict=True):
+            x = Pieces(shard := Shard(row, SEPARATOR), length)
+            firsts, lasts, anchors = x.stretches()
+            marked, run = x.own(anchors, spans_told(shard.buf, firsts, lasts, anchors, length))
+            out = run.rows(row["shard"], 0, ranges[0])
+            begin, end = runs(marked)
+            stretches = np.stack([firsts, lasts, anchors, x.piece]).astype(np.int32)
+            for n, v in zip(out, (-1, -1, row["shard"], 0, 0, begin.tobytes(), end.tobytes(), stretches.tobytes(), b""), strict=True):
                 out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, ARROW_KEYS)
 
+    def search(row: dict) -> Search:
+        return Search(Shard(row, SEPARATOR), np.frombuffer(row["stretches"], np.int32).reshape(4, -1), length)
+
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            x = Pieces(Shard(row, SEPARATOR), length)
-            firsts, lasts, grams = x.stretches()
-            keys = Keys(grams)
-            yield pa.RecordBatch.from_pydict(sent(x, keys.answers(row["hits"], buckets), keys, firsts, lasts, merge, single), ARROW_SENT)
+            x = search(row)
+            yield x.of_blocks(x.of_anchors().verdicts(row["hits"], ranges[0])).rows(row["shard"], ranges[1])
+
+    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            x = search(row)
+            found = x.of_blocks(x.of_anchors().verdicts(row["hits"], ranges[0]))
+            yield x.of_strings(found.verdicts(row["more"], ranges[1])).rows(row["shard"], ranges[2])
 
     fields = [f for f in docs.schema if f.name != text]
     out_type = T.StructType([*fields, *T.StructType.fromDDL(ADDED).fields])
     arrow = to_arrow_schema(out_type)
 
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            shard = Shard(row, SEPARATOR)
-            change = np.zeros(len(shard.buf) + 1, np.int32)
-            for m in row["marks"] or []:
-                np.add.at(change, np.frombuffer(m["begins"], np.int64), 1)
-                np.add.at(change, np.frombuffer(m["ends"], np.int64), -1)
-            gone = covered(np.cumsum(change[:-1]) > 0, length)
-            others, more = shard.others(), told(shard, gone)
+            x = search(row)
+            if row["hits"]:
+                found = x.of_blocks(x.of_anchors().verdicts(row["hits"], ranges[0]))
+                found = x.of_strings(found.verdicts(row["more"], ranges[1]))
+                x.settled(found.verdicts(row["last"], ranges[2]))
+            np.add.at(x.change, np.frombuffer(row["begins"], np.int64), 1)
+            np.add.at(x.change, np.frombuffer(row["ends"], np.int64), -1)
+            gone = covered(np.cumsum(x.change[:-1]) > 0, length)
+            others, more = x.shard.others(), told(x.shard, gone)
             t = pa.table([others[n] if n in others.column_names else more[n] for n in arrow.names], names=arrow.names).cast(arrow)
             yield from t.combine_chunks().to_batches()
 
     found = saved(shards.mapInArrow(first, KEYS), "suffixes")
-    own = found.where("bucket < 0").select("shard", F.col("a").alias("begins"), F.col("b").alias("ends"))
-    hits = exchanged(found.where("bucket >= 0"), hot)
-    pieces = shards.join(hits.hint("shuffle_hash"), "shard").mapInArrow(second, SENT)
-    across = pieces.groupBy("bucket").applyInArrow(merged(length), MARKS)
-    marks = pinned(own.unionByName(across).groupBy("shard").agg(F.collect_list(F.struct("begins", "ends")).alias("marks")))
-    return shards.join(marks.hint("shuffle_hash"), "shard", "left").mapInArrow(third, out_type)
+    own = found.where("range < 0").select(F.col("child").alias("shard"), F.col("keys").alias("begins"), F.col("low").alias("ends"), F.col("high").alias("stretches"))
+    own = pinned(own.repartition(trees[0].parts, "shard"))
+    one = shards.join(own.hint("shuffle_hash"), "shard").join(trees[0].answers(found.where("range >= 0")).hint("shuffle_hash"), "shard", "left")
+    more = trees[1].answers(one.where(F.col("hits").isNotNull()).mapInArrow(second, KEYS)).withColumnRenamed("hits", "more")
+    two = one.join(more.hint("shuffle_hash"), "shard", "left")
+    end = trees[2].answers(two.where(F.col("more").isNotNull()).mapInArrow(third, KEYS)).withColumnRenamed("hits", "last")
+    return two.join(end.hint("shuffle_hash"), "shard", "left").mapInArrow(last, out_type)
 
 
 def told(shard: Shard, gone: np.ndarray) -> dict[str, pa.Array]:

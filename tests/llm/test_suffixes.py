@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lakevault.llm import suffixes
+from lakevault.llm import shards, suffixes
 from lakevault.llm.suffixes import common_prefixes, deduplicated, suffix_array
 
 
@@ -51,12 +51,15 @@ def corpus(rng):
     return texts + texts[5:12] + [prose(200) for _ in range(20)] + ["a" * 700, "ab" * 500]
 
 
-@pytest.mark.parametrize(("shard", "hot"), [(1 << 20, 1024), (3000, 1024), (3000, 2), (1 << 14, 5)])
-def test_against_all_strings(spark, monkeypatch, shard, hot):
+@pytest.mark.parametrize(("shard", "fan", "keys"), [(1 << 20, 512, 1 << 19), (3000, 512, 1 << 19), (3000, 2, 100), (1 << 14, 3, 40)])
+def test_against_all_strings(spark, monkeypatch, shard, fan, keys):
+    """With shards of 3,000 bytes, each of four passages is in a quarter of nearly all documents; with a fan of 2 the tree has many levels."""
     texts = corpus(np.random.default_rng(5))
     monkeypatch.setattr(suffixes, "SHARD", shard)
+    monkeypatch.setattr(shards, "FAN", fan)
+    monkeypatch.setattr(shards, "NODE_KEYS", keys)
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(None, texts[7], "x")], "doc_id long, text string, n_bytes string").repartition(3)
-    rows = {r.doc_id: r for r in deduplicated(docs, length=64, hot=hot).collect()}
+    rows = {r.doc_id: r for r in deduplicated(docs, length=64).collect()}
     want = brute([*texts, texts[7]], 64)
     assert len(rows) == len(texts) + 1
     for k, w in zip([*range(len(texts)), None], want, strict=True):
