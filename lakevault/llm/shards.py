@@ -136,6 +136,11 @@ def spread(keys: np.ndarray) -> np.ndarray:
     return x >> U64(32)
 
 
+#: What a shard may ask of a key. ALIKE: 0 if no other shard, and nothing else here, has it; 1 if all have it with one detail; else 2.
+#: FIRST, with the shard's number as detail: 0 likewise; 2 if of those that have it this shard is the one of least number; else 1.
+ALIKE, FIRST = 0, 1
+
+
 class Run:
     """Distinct keys in order. low, high: the least and the greatest detail each was given with; many: given more than once."""
 
@@ -162,14 +167,14 @@ class Run:
         order = np.argsort(of, kind="stable")
         return order, np.searchsorted(of[order], np.arange(ranges + 1, dtype=U64))
 
-    def rows(self, child: int, piece: int, ranges: int, group: int = 0) -> dict[str, list]:
+    def rows(self, child: int, piece: int, ranges: int, group: int = 0, ask: int = ALIKE) -> dict[str, list]:
         """A row for each range that has keys, as in KEYS."""
         out: dict[str, list] = {n: [] for n in ARROW_KEYS.names}
         order, cuts = self.dealt(ranges)
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             x = order[cuts[k] : cuts[k + 1]]
             low, high, many = self.low[x], self.high[x], self.many[x]
-            row = (group, k, child, piece, self.keys.itemsize, self.keys[x].tobytes(), low.tobytes() if low.any() else b"", b"" if (low == high).all() else high.tobytes(), np.packbits(many).tobytes() if many.any() else b"")
+            row = (group, k, ask, child, piece, self.keys.itemsize, self.keys[x].tobytes(), low.tobytes() if low.any() else b"", b"" if (low == high).all() else high.tobytes(), np.packbits(many).tobytes() if many.any() else b"")
             for n, v in zip(out, row, strict=True):
                 out[n].append(v)
         return out
@@ -216,12 +221,12 @@ class Keys:
             many = np.minimum.reduceat(part[order], heads) != np.maximum.reduceat(part[order], heads)
         self.run = Run(as_bytes([w[self.first] for w in words]), low, high, many)
 
-    def rows(self, shard: int, ranges: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(self.run.rows(shard, 0, ranges), ARROW_KEYS)
+    def rows(self, shard: int, ranges: int, ask: int = ALIKE) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(self.run.rows(shard, 0, ranges, 0, ask), ARROW_KEYS)
 
-    def verdicts(self, hits: list[dict] | None, ranges: int) -> np.ndarray:
-        """For each given key: 0 if no other shard, and nothing else here, has it; 1 if all have it with one detail; else 2."""
-        return spread_out(self.run, hits, ranges)[self.place]
+    def verdicts(self, hits: list[dict] | None, ranges: int, ask: int = ALIKE) -> np.ndarray:
+        """For each given key what was asked of it: see ALIKE and FIRST."""
+        return spread_out(self.run, [h for h in hits or [] if h["ask"] == ask], ranges)[self.place]
 
 
 def spread_out(run: Run, hits: list[dict] | None, ranges: int) -> np.ndarray:
@@ -236,11 +241,11 @@ def spread_out(run: Run, hits: list[dict] | None, ranges: int) -> np.ndarray:
 
 
 #: A child (a shard, or a node of the level below with a piece, its range) tells a node of the tree, which is a group of children and a range of keys, its keys.
-KEYS = "grp int, range int, child long, piece int, width int, keys binary, low binary, high binary, many binary"
-ARROW_KEYS = pa.schema([("grp", pa.int32()), ("range", pa.int32()), ("child", pa.int64()), ("piece", pa.int32()), ("width", pa.int32()), *((n, pa.binary()) for n in ("keys", "low", "high", "many"))])
+KEYS = "grp int, range int, ask int, child long, piece int, width int, keys binary, low binary, high binary, many binary"
+ARROW_KEYS = pa.schema([("grp", pa.int32()), ("range", pa.int32()), ("ask", pa.int32()), ("child", pa.int64()), ("piece", pa.int32()), ("width", pa.int32()), *((n, pa.binary()) for n in ("keys", "low", "high", "many"))])
 #: What a node answers a child's piece about a range of its keys.
-ANSWERS = "child long, piece int, range int, verdicts binary"
-ARROW_ANSWERS = pa.schema([("child", pa.int64()), ("piece", pa.int32()), ("range", pa.int32()), ("verdicts", pa.binary())])
+ANSWERS = "child long, piece int, range int, ask int, verdicts binary"
+ARROW_ANSWERS = pa.schema([("child", pa.int64()), ("piece", pa.int32()), ("range", pa.int32()), ("ask", pa.int32()), ("verdicts", pa.binary())])
 
 
 class Tree:
@@ -269,18 +274,18 @@ class Tree:
         groups = self.levels[0][0]
         rows = [keys.withColumn("grp", F.pmod(F.xxhash64("child"), F.lit(groups)).cast("int"))]
         for _, finer in self.levels[1:]:
-            rows.append(saved(rows[-1].groupBy("grp", "range").applyInArrow(upwards(finer, FAN), KEYS), "runs"))
+            rows.append(saved(rows[-1].groupBy("grp", "range", "ask").applyInArrow(upwards(finer, FAN), KEYS), "runs"))
         found = None
         for level in reversed(range(len(rows))):
             asked = rows[level].withColumn("verdicts", F.lit(None).cast("binary"))
             if found is not None:
                 # what the level above says of a node's run, beside what the node's children have told it
-                told = found.select(F.col("child").cast("int").alias("grp"), F.col("piece").alias("range"), F.lit(-1).cast("long").alias("child"), F.col("range").alias("piece"), "verdicts")
+                told = found.select(F.col("child").cast("int").alias("grp"), F.col("piece").alias("range"), F.lit(-1).cast("long").alias("child"), F.col("range").alias("piece"), "ask", "verdicts")
                 asked = asked.unionByName(told, allowMissingColumns=True)
             finer = self.levels[level + 1][1] if found is not None else 0
-            found = asked.groupBy("grp", "range").applyInArrow(downwards(finer), ANSWERS)
+            found = asked.groupBy("grp", "range", "ask").applyInArrow(downwards(finer), ANSWERS)
         # dealt out as the shards are, so that they meet without another shuffle
-        return pinned(found.withColumnRenamed("child", "shard").repartition(self.parts, "shard").groupBy("shard").agg(F.collect_list(F.struct("range", "verdicts")).alias("hits")))
+        return pinned(found.withColumnRenamed("child", "shard").repartition(self.parts, "shard").groupBy("shard").agg(F.collect_list(F.struct("range", "ask", "verdicts")).alias("hits")))
 
 
 def node_runs(rows: pa.Table) -> list[dict]:
@@ -293,7 +298,7 @@ def upwards(finer: int, fan: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         group, piece = key[0].as_py(), key[1].as_py()
         whole = Run.together([Run.of(r) for r in node_runs(rows)])
-        return pa.table(whole.rows(group, piece, finer, group // fan), ARROW_KEYS)
+        return pa.table(whole.rows(group, piece, finer, group // fan, key[2].as_py()), ARROW_KEYS)
 
     return run
 
@@ -302,6 +307,7 @@ def downwards(finer: int):
     """A node's verdicts for each child's piece: of its own run at the top (finer: 0), else as the level above says of its run, cut into finer ranges."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ask = key[2].as_py()
         told = node_runs(rows)
         verdicts = rows["verdicts"].to_pylist()
         children = [(r, Run.of(r)) for r in told if r["child"] >= 0]
@@ -309,13 +315,16 @@ def downwards(finer: int):
         if finer:
             answer = spread_out(whole, [{"range": r["piece"], "verdicts": v} for r, v in zip(told, verdicts, strict=True) if r["child"] < 0], finer)
         else:
-            answer = np.where(whole.many, np.where(whole.low == whole.high, 1, 2), 0).astype(np.uint8)
+            answer = np.where(whole.many, np.where((whole.low == whole.high) & (ask == ALIKE), 1, 2), 0).astype(np.uint8)
         out: dict[str, list] = {n: [] for n in ARROW_ANSWERS.names}
         if answer.any():
             for r, x in children:
-                mine = answer[np.searchsorted(whole.keys, x.keys)]
+                at = np.searchsorted(whole.keys, x.keys)
+                mine = answer[at]
+                if ask == FIRST:
+                    mine = np.where(x.low == whole.low[at], mine, np.minimum(mine, 1))
                 if mine.any():
-                    for n, v in zip(out, (r["child"], r["piece"], r["range"], mine.tobytes()), strict=True):
+                    for n, v in zip(out, (r["child"], r["piece"], r["range"], ask, mine.tobytes()), strict=True):
                         out[n].append(v)
         return pa.table(out, ARROW_ANSWERS)
 

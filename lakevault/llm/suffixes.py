@@ -12,8 +12,9 @@ A byte is removed if a string of LENGTH bytes covers it that also starts anywher
    at a time; equal neighbours say which anchors several shards have, and whether their stretches, the texts of all strings
    with that anchor, are all the same. If so, all these strings repeat, and nothing more is sent.
 3. Where stretches differ, runs are refined and merged again: of blocks of strings by what all strings of a block have in
-   common, and, where blocks still differ, of the strings themselves, by 128 bits of each. Both go up the same tree. A
-   passage that a third of all documents share is one key a shard, and one key from there on.
+   common, and, where blocks still differ, of the strings themselves, by 128 bits of each. Both go up the same tree. Of
+   shards with an equal stretch, or block, the first one alone goes on, for the others. So a passage that a third of all
+   documents share is one key a shard, one key from the tree's first level on, and its parts are sent once.
 
 Defined results: null texts are empty and lose nothing; strings never span documents; repeated rows are documents of their
 own, so their strings repeat; texts of any length are taken whole, in pieces that overlap; an empty table gives no rows;
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakevault.llm.common import pinned, saved, table
-from lakevault.llm.shards import ARROW_KEYS, KEYS, U64, Keys, Run, Shard, Tree, covered, mixed, rows_of, sharded
+from lakevault.llm.shards import ARROW_KEYS, FIRST, KEYS, U64, Keys, Run, Shard, Tree, covered, mixed, rows_of, sharded
 
 LENGTH, SEED = 200, 32
 #: Bytes in a shard, and in one suffix array at most: rank, rank and place of a suffix must fit 64 bits.
@@ -227,11 +228,11 @@ def prefixes(text: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
     return [words[places + k].byteswap() for k in range(0, SEED, 8)]
 
 
-def spans_told(text: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, anchors: np.ndarray, length: int) -> np.ndarray:
-    """64 bits of the text of each run of starts, and of where it lies to its anchor: the first and the last string tell them."""
+def spans_told(text: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, anchors: np.ndarray, length: int) -> list[np.ndarray]:
+    """128 bits of the text of each run of starts, and of where it lies to its anchor: the first and the last string tell them."""
     (a, b), (c, d) = (string_hashes(text, x, length) for x in (firsts, lasts))
-    place = ((anchors - firsts).astype(U64) << U64(32)) | (anchors - lasts).astype(U64)
-    return mixed(mixed(a ^ (b >> U64(1))) + c * U64(0x9E3779B97F4A7C15) + mixed(d + place)) | U64(1)
+    place = mixed(((anchors - firsts).astype(U64) << U64(32)) | (anchors - lasts).astype(U64))
+    return [mixed(a + mixed(c + place)) | U64(1), mixed(b + mixed(d + place))]
 
 
 def blocks(firsts: np.ndarray, lasts: np.ndarray, anchors: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -258,21 +259,30 @@ class Search:
         np.add.at(self.change, firsts, 1)
         np.add.at(self.change, lasts + 1, -1)
 
-    def of_anchors(self) -> Keys:
-        return Keys(prefixes(self.shard.buf, self.anchors), spans_told(self.shard.buf, self.firsts, self.lasts, self.anchors, self.length), self.piece)
+    def of_anchors(self) -> tuple[Keys, Keys]:
+        """What is asked of anchors' prefixes, whether stretches are alike, and of whole stretches, who is first."""
+        told = spans_told(self.shard.buf, self.firsts, self.lasts, self.anchors, self.length)
+        return Keys(prefixes(self.shard.buf, self.anchors), told[0], self.piece), self.wholes(told, self.piece)
 
-    def of_blocks(self, verdicts: np.ndarray) -> Keys:
-        self.mark(self.firsts[verdicts == 1], self.lasts[verdicts == 1])
-        open_ = np.flatnonzero(verdicts == 2)
+    def wholes(self, told: list[np.ndarray], part: np.ndarray) -> Keys:
+        return Keys(told, np.full(len(part), self.shard.number, U64), part)
+
+    def of_blocks(self, alike: np.ndarray, first: np.ndarray) -> tuple[Keys, Keys]:
+        """The same of the blocks of stretches that are still open."""
+        done = (alike == 1) | (first > 0)
+        self.mark(self.firsts[done], self.lasts[done])
+        open_ = np.flatnonzero((alike == 2) & (first != 1))
         of, self.low, self.high, number = blocks(self.firsts[open_], self.lasts[open_], self.anchors[open_], self.width)
         anchors, self.part = self.anchors[open_][of], self.piece[open_][of]
         # all strings of a whole block have these bytes in common, wherever a stretch cuts it off
         a, b = string_hashes(self.shard.buf, anchors - number * self.width, self.length - self.width + 1)
-        return Keys([mixed(a + mixed(number.astype(U64) + U64(1))), b], spans_told(self.shard.buf, self.low, self.high, anchors, self.length), self.part)
+        told = spans_told(self.shard.buf, self.low, self.high, anchors, self.length)
+        return Keys([mixed(a + mixed(number.astype(U64) + U64(1))), b], told[0], self.part), self.wholes(told, self.part)
 
-    def of_strings(self, verdicts: np.ndarray) -> Keys:
-        self.mark(self.low[verdicts == 1], self.high[verdicts == 1])
-        open_ = verdicts == 2
+    def of_strings(self, alike: np.ndarray, first: np.ndarray) -> Keys:
+        done = (alike == 1) | (first > 0)
+        self.mark(self.low[done], self.high[done])
+        open_ = (alike == 2) & (first != 1)
         low, n = self.low[open_], (self.high - self.low + 1)[open_]
         self.starts = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return Keys(list(string_hashes(self.shard.buf, self.starts, self.length)), None, np.repeat(self.part[open_], n))
@@ -296,27 +306,34 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         for row in rows_of(batches):
             x = Pieces(shard := Shard(row, SEPARATOR), length)
             firsts, lasts, anchors = x.stretches()
-            marked, run = x.own(anchors, spans_told(shard.buf, firsts, lasts, anchors, length))
+            told = spans_told(shard.buf, firsts, lasts, anchors, length)
+            marked, run = x.own(anchors, told[0])
+            yield Keys(told, np.full(len(firsts), row["shard"], U64), x.piece).rows(row["shard"], ranges[0], FIRST)
             out = run.rows(row["shard"], 0, ranges[0])
             begin, end = runs(marked)
             stretches = np.stack([firsts, lasts, anchors, x.piece]).astype(np.int32)
-            for n, v in zip(out, (-1, -1, row["shard"], 0, 0, begin.tobytes(), end.tobytes(), stretches.tobytes(), b""), strict=True):
+            for n, v in zip(out, (-1, -1, -1, row["shard"], 0, 0, begin.tobytes(), end.tobytes(), stretches.tobytes(), b""), strict=True):
                 out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, ARROW_KEYS)
 
     def search(row: dict) -> Search:
         return Search(Shard(row, SEPARATOR), np.frombuffer(row["stretches"], np.int32).reshape(4, -1), length)
 
+    def asked(found: tuple[Keys, Keys], hits: list[dict] | None, step: int) -> tuple[np.ndarray, np.ndarray]:
+        return found[0].verdicts(hits, ranges[step]), found[1].verdicts(hits, ranges[step], FIRST)
+
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             x = search(row)
-            yield x.of_blocks(x.of_anchors().verdicts(row["hits"], ranges[0])).rows(row["shard"], ranges[1])
+            alike, first = x.of_blocks(*asked(x.of_anchors(), row["hits"], 0))
+            yield alike.rows(row["shard"], ranges[1])
+            yield first.rows(row["shard"], ranges[1], FIRST)
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             x = search(row)
-            found = x.of_blocks(x.of_anchors().verdicts(row["hits"], ranges[0]))
-            yield x.of_strings(found.verdicts(row["more"], ranges[1])).rows(row["shard"], ranges[2])
+            found = x.of_blocks(*asked(x.of_anchors(), row["hits"], 0))
+            yield x.of_strings(*asked(found, row["more"], 1)).rows(row["shard"], ranges[2])
 
     fields = [f for f in docs.schema if f.name != text]
     out_type = T.StructType([*fields, *T.StructType.fromDDL(ADDED).fields])
@@ -326,9 +343,8 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         for row in rows_of(batches):
             x = search(row)
             if row["hits"]:
-                found = x.of_blocks(x.of_anchors().verdicts(row["hits"], ranges[0]))
-                found = x.of_strings(found.verdicts(row["more"], ranges[1]))
-                x.settled(found.verdicts(row["last"], ranges[2]))
+                found = x.of_blocks(*asked(x.of_anchors(), row["hits"], 0))
+                x.settled(x.of_strings(*asked(found, row["more"], 1)).verdicts(row["last"], ranges[2]))
             np.add.at(x.change, np.frombuffer(row["begins"], np.int64), 1)
             np.add.at(x.change, np.frombuffer(row["ends"], np.int64), -1)
             gone = covered(np.cumsum(x.change[:-1]) > 0, length)
