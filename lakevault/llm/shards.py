@@ -137,7 +137,7 @@ def spread(keys: np.ndarray) -> np.ndarray:
 
 
 #: What a shard may ask of a key. ALIKE: 0 if no other shard, and nothing else here, has it; 1 if all have it with one detail; else 2.
-#: FIRST, with the shard's number as detail: 0 likewise; 2 if of those that have it this shard is the one of least number; else 1.
+#: FIRST: 0 likewise; 2 if of those that have it this shard is the one of least number; else 1. The detail is the shard, and goes without saying.
 ALIKE, FIRST = 0, 1
 
 
@@ -180,10 +180,10 @@ class Run:
         return out
 
     @staticmethod
-    def of(row: dict) -> Run:
+    def of(row: dict, ask: int) -> Run:
         keys = np.frombuffer(row["keys"], f"S{row['width']}")
         n = len(keys)
-        low = np.frombuffer(row["low"], U64) if row["low"] else np.zeros(n, U64)
+        low = np.frombuffer(row["low"], U64) if row["low"] else np.full(n, row["child"] + 1 if ask == FIRST else 0, U64)
         high = np.frombuffer(row["high"], U64) if row["high"] else low
         return Run(keys, low, high, np.unpackbits(np.frombuffer(row["many"], np.uint8), count=n).astype(bool) if row["many"] else np.zeros(n, bool))
 
@@ -297,7 +297,7 @@ def upwards(finer: int, fan: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         group, piece = key[0].as_py(), key[1].as_py()
-        whole = Run.together([Run.of(r) for r in node_runs(rows)])
+        whole = Run.together([Run.of(r, key[2].as_py()) for r in node_runs(rows)])
         return pa.table(whole.rows(group, piece, finer, group // fan, key[2].as_py()), ARROW_KEYS)
 
     return run
@@ -310,7 +310,7 @@ def downwards(finer: int):
         ask = key[2].as_py()
         told = node_runs(rows)
         verdicts = rows["verdicts"].to_pylist()
-        children = [(r, Run.of(r)) for r in told if r["child"] >= 0]
+        children = [(r, Run.of(r, ask)) for r in told if r["child"] >= 0]
         whole = Run.together([x for _, x in children])
         if finer:
             answer = spread_out(whole, [{"range": r["piece"], "verdicts": v} for r, v in zip(told, verdicts, strict=True) if r["child"] < 0], finer)

@@ -7,10 +7,11 @@ A byte is removed if a string of LENGTH bytes covers it that also starts anywher
    text order: where the bytes before a suffix and before its neighbour agree, the length is one less than the one before,
    elsewhere bytes are compared. A prefix of LENGTH or more marks both starts.
 2. Across shards, equal strings meet at anchors. Of the SEED-byte grams in a LENGTH-byte string the one with the least hash is
-   its anchor; equal strings have the same one at the same place. The suffixes at anchors, cut to SEED bytes, are a shard's
-   run: they are taken in the order of its suffix array. Runs of all shards are merged by binary search, up a tree, a range
-   at a time; equal neighbours say which anchors several shards have, and whether their stretches, the texts of all strings
-   with that anchor, are all the same. If so, all these strings repeat, and nothing more is sent.
+   its anchor; equal strings have the same one at the same place. The suffixes at anchors, packed to their first 8 bytes and
+   64 bits of their first SEED, are a shard's run: they are taken in the order of its suffix array. Runs of all shards are
+   merged by binary search, up a tree, a range at a time; equal neighbours say which anchors several shards have, and whether
+   their stretches, the texts of all strings with that anchor, are all the same. If so, all these strings repeat, and nothing
+   more is sent.
 3. Where stretches differ, runs are refined and merged again: of blocks of strings by what all strings of a block have in
    common, and, where blocks still differ, of the strings themselves, by 128 bits of each. Both go up the same tree. Of
    shards with an equal stretch, or block, the first one alone goes on, for the others. So a passage that a third of all
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakevault.llm.common import pinned, saved, table
-from lakevault.llm.shards import ARROW_KEYS, FIRST, KEYS, U64, Keys, Run, Shard, Tree, covered, mixed, rows_of, sharded
+from lakevault.llm.shards import ALIKE, ARROW_KEYS, FIRST, KEYS, U64, Keys, Run, Shard, Tree, covered, in_order, mixed, rows_of, sharded
 
 LENGTH, SEED = 200, 32
 #: Bytes in a shard, and in one suffix array at most: rank, rank and place of a suffix must fit 64 bits.
@@ -167,7 +168,9 @@ class Pieces:
             which = np.full(c - a, -1, np.int64)
             which[anchors[mine] - a] = np.arange(len(mine))
             found = which[order]
-            runs.append(Keys(prefixes(self.shard.buf, anchors[mine]), detail[mine], np.zeros(len(mine)), found[found >= 0]).run)
+            order, words = found[found >= 0], prefixes(self.shard.buf, anchors[mine])
+            order = order[in_order([w[order] for w in words])]  # nothing moves but what the first 8 bytes leave open
+            runs.append(Keys(words, detail[mine], np.zeros(len(mine)), order).run)
         return marked, Run.together(runs)
 
     def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,9 +226,8 @@ def string_hashes(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
 
 
 def prefixes(text: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """The SEED bytes from each place on, as numbers that compare as the bytes do."""
-    words = words_at(text)
-    return [words[places + k].byteswap() for k in range(0, SEED, 8)]
+    """The first 8 bytes from each place on, as numbers that compare as the bytes do, and 64 bits of the first SEED."""
+    return [words_at(text)[places].byteswap(), string_hashes(text, places, SEED)[0]]
 
 
 def spans_told(text: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, anchors: np.ndarray, length: int) -> list[np.ndarray]:
@@ -245,9 +247,8 @@ def blocks(firsts: np.ndarray, lasts: np.ndarray, anchors: np.ndarray, width: in
 
 
 class Search:
-    """What a shard asks the others, step by step: about its anchors, about blocks where stretches differ, about strings where blocks do.
-
-    After each step the starts that it has settled are marked.
+    """What a shard asks the others, step by step: about anchors, about stretches where some differ, about blocks of those that
+    go on, and about strings of blocks where some differ. What a step settles is marked.
     """
 
     def __init__(self, shard: Shard, stretches: np.ndarray, length: int):
@@ -259,37 +260,40 @@ class Search:
         np.add.at(self.change, firsts, 1)
         np.add.at(self.change, lasts + 1, -1)
 
-    def of_anchors(self) -> tuple[Keys, Keys]:
-        """What is asked of anchors' prefixes, whether stretches are alike, and of whole stretches, who is first."""
-        told = spans_told(self.shard.buf, self.firsts, self.lasts, self.anchors, self.length)
-        return Keys(prefixes(self.shard.buf, self.anchors), told[0], self.piece), self.wholes(told, self.piece)
-
-    def wholes(self, told: list[np.ndarray], part: np.ndarray) -> Keys:
-        return Keys(told, np.full(len(part), self.shard.number, U64), part)
-
-    def of_blocks(self, alike: np.ndarray, first: np.ndarray) -> tuple[Keys, Keys]:
-        """The same of the blocks of stretches that are still open."""
-        done = (alike == 1) | (first > 0)
-        self.mark(self.firsts[done], self.lasts[done])
-        open_ = np.flatnonzero((alike == 2) & (first != 1))
-        of, self.low, self.high, number = blocks(self.firsts[open_], self.lasts[open_], self.anchors[open_], self.width)
-        anchors, self.part = self.anchors[open_][of], self.piece[open_][of]
+    def questions(self) -> Iterator[list[tuple[Keys, int]] | None]:
+        """Yields a step's keys and what is asked of them, and takes the verdicts; None after the last step."""
+        text, length, width = self.shard.buf, self.length, self.width
+        firsts, lasts, anchors, part = self.firsts, self.lasts, self.anchors, self.piece
+        whole = spans_told(text, firsts, lasts, anchors, length)
+        (alike,) = yield [(Keys(prefixes(text, anchors), whole[0], part), ALIKE)]
+        self.mark(firsts[alike == 1], lasts[alike == 1])
+        at = np.flatnonzero(alike == 2)
+        firsts, lasts, anchors, part = firsts[at], lasts[at], anchors[at], part[at]
+        (first,) = yield [(Keys([x[at] for x in whole], None, part), FIRST)]
+        self.mark(firsts[first > 0], lasts[first > 0])
+        at = np.flatnonzero(first != 1)
+        of, firsts, lasts, number = blocks(firsts[at], lasts[at], anchors[at], width)
+        anchors, part = anchors[at][of], part[at][of]
         # all strings of a whole block have these bytes in common, wherever a stretch cuts it off
-        a, b = string_hashes(self.shard.buf, anchors - number * self.width, self.length - self.width + 1)
-        told = spans_told(self.shard.buf, self.low, self.high, anchors, self.length)
-        return Keys([mixed(a + mixed(number.astype(U64) + U64(1))), b], told[0], self.part), self.wholes(told, self.part)
-
-    def of_strings(self, alike: np.ndarray, first: np.ndarray) -> Keys:
+        a, b = string_hashes(text, anchors - number * width, length - width + 1)
+        whole = spans_told(text, firsts, lasts, anchors, length)
+        alike, first = yield [(Keys([mixed(a + mixed(number.astype(U64) + U64(1))), b], whole[0], part), ALIKE), (Keys(whole, None, part), FIRST)]
         done = (alike == 1) | (first > 0)
-        self.mark(self.low[done], self.high[done])
-        open_ = (alike == 2) & (first != 1)
-        low, n = self.low[open_], (self.high - self.low + 1)[open_]
-        self.starts = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return Keys(list(string_hashes(self.shard.buf, self.starts, self.length)), None, np.repeat(self.part[open_], n))
-
-    def settled(self, verdicts: np.ndarray) -> None:
-        at = self.starts[verdicts > 0]
-        self.mark(at, at)
+        self.mark(firsts[done], lasts[done])
+        at = np.flatnonzero((alike == 2) & (first != 1))
+        n = (lasts - firsts + 1)[at]
+        starts = np.repeat(firsts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        (again,) = yield [(Keys(list(string_hashes(text, starts, length)), None, np.repeat(part[at], n)), ALIKE)]
+        self.mark(starts[again > 0], starts[again > 0])
+        yield None
+
+    def asking(self, hits: list[list[dict] | None], ranges: list[int]) -> list[tuple[Keys, int]] | None:
+        """What is asked after so many answers."""
+        steps = self.questions()
+        now = next(steps)
+        for h, r in zip(hits, ranges, strict=False):
+            now = steps.send([keys.verdicts(h, r, ask) for keys, ask in now])
+        return now
 
 
 def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -298,17 +302,19 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         raise ValueError(f"strings of at least {SEED} bytes are asked for")
     docs = docs.drop(*[f.name for f in T.StructType.fromDDL(ADDED) if f.name != text])
     shards = sharded(docs, text, SHARD)
-    # anchors, blocks of nearly all strings, and a sixteenth of all strings
-    trees = [Tree(shards, x) for x in (2 / (length - SEED + 2), 2 * BLOCKS / length, 1 / 16)]
+    # keys in a byte: of anchors, of stretches, of blocks of half of all strings, and of a sixteenth of all strings
+    anchors = 2 / (length - SEED + 2)
+    trees = [Tree(shards, x) for x in (anchors, anchors, BLOCKS / length, 1 / 16)]
     ranges = [t.ranges for t in trees]
 
+    def search(row: dict) -> Search:
+        return Search(Shard(row, SEPARATOR), np.frombuffer(row["stretches"], np.int32).reshape(4, -1), length)
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             x = Pieces(shard := Shard(row, SEPARATOR), length)
             firsts, lasts, anchors = x.stretches()
-            told = spans_told(shard.buf, firsts, lasts, anchors, length)
-            marked, run = x.own(anchors, told[0])
-            yield Keys(told, np.full(len(firsts), row["shard"], U64), x.piece).rows(row["shard"], ranges[0], FIRST)
+            marked, run = x.own(anchors, spans_told(shard.buf, firsts, lasts, anchors, length)[0])
             out = run.rows(row["shard"], 0, ranges[0])
             begin, end = runs(marked)
             stretches = np.stack([firsts, lasts, anchors, x.piece]).astype(np.int32)
@@ -316,24 +322,13 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
                 out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, ARROW_KEYS)
 
-    def search(row: dict) -> Search:
-        return Search(Shard(row, SEPARATOR), np.frombuffer(row["stretches"], np.int32).reshape(4, -1), length)
+    def asked(step: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                for keys, ask in search(row).asking([row[f"hits{k}"] for k in range(step)], ranges):
+                    yield keys.rows(row["shard"], ranges[step], ask)
 
-    def asked(found: tuple[Keys, Keys], hits: list[dict] | None, step: int) -> tuple[np.ndarray, np.ndarray]:
-        return found[0].verdicts(hits, ranges[step]), found[1].verdicts(hits, ranges[step], FIRST)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            x = search(row)
-            alike, first = x.of_blocks(*asked(x.of_anchors(), row["hits"], 0))
-            yield alike.rows(row["shard"], ranges[1])
-            yield first.rows(row["shard"], ranges[1], FIRST)
-
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            x = search(row)
-            found = x.of_blocks(*asked(x.of_anchors(), row["hits"], 0))
-            yield x.of_strings(*asked(found, row["more"], 1)).rows(row["shard"], ranges[2])
+        return run
 
     fields = [f for f in docs.schema if f.name != text]
     out_type = T.StructType([*fields, *T.StructType.fromDDL(ADDED).fields])
@@ -342,9 +337,8 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             x = search(row)
-            if row["hits"]:
-                found = x.of_blocks(*asked(x.of_anchors(), row["hits"], 0))
-                x.settled(x.of_strings(*asked(found, row["more"], 1)).verdicts(row["last"], ranges[2]))
+            if row["hits0"]:
+                x.asking([row[f"hits{k}"] for k in range(len(trees))], ranges)
             np.add.at(x.change, np.frombuffer(row["begins"], np.int64), 1)
             np.add.at(x.change, np.frombuffer(row["ends"], np.int64), -1)
             gone = covered(np.cumsum(x.change[:-1]) > 0, length)
@@ -355,11 +349,12 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     found = saved(shards.mapInArrow(first, KEYS), "suffixes")
     own = found.where("range < 0").select(F.col("child").alias("shard"), F.col("keys").alias("begins"), F.col("low").alias("ends"), F.col("high").alias("stretches"))
     own = pinned(own.repartition(trees[0].parts, "shard"))
-    one = shards.join(own.hint("shuffle_hash"), "shard").join(trees[0].answers(found.where("range >= 0")).hint("shuffle_hash"), "shard", "left")
-    more = trees[1].answers(one.where(F.col("hits").isNotNull()).mapInArrow(second, KEYS)).withColumnRenamed("hits", "more")
-    two = one.join(more.hint("shuffle_hash"), "shard", "left")
-    end = trees[2].answers(two.where(F.col("more").isNotNull()).mapInArrow(third, KEYS)).withColumnRenamed("hits", "last")
-    return two.join(end.hint("shuffle_hash"), "shard", "left").mapInArrow(last, out_type)
+    rows, asks = shards.join(own.hint("shuffle_hash"), "shard"), found.where("range >= 0")
+    for step, tree in enumerate(trees):
+        if step:
+            asks = rows.where("hits0 IS NOT NULL").mapInArrow(asked(step), KEYS)
+        rows = rows.join(tree.answers(asks).withColumnRenamed("hits", f"hits{step}").hint("shuffle_hash"), "shard", "left")
+    return rows.mapInArrow(last, out_type)
 
 
 def told(shard: Shard, gone: np.ndarray) -> dict[str, pa.Array]:
