@@ -4,8 +4,9 @@
    from here on one document stands for a class, with the number of its copies.
 2. Classes that agree in ROWS values of one of HASHES / ROWS bands are linked as possible neighbours. Connected components
    of these links say which classes must be compared; a large component is cut into blocks by size, and pairs of blocks
-   that share a band are the units of work. So a class's set is sent once for a small component, and for a large one once
-   for each other block that may hold a neighbour: never once for each pair.
+   are the units of work. A class's set is sent once for a small component, and for a large one once for each block that
+   holds a possible neighbour of its own; where a band has more than FEW classes, once for each block that has this band
+   or another such one. So in a long chain a set is sent a few times, however long it is, and never once for each pair.
 3. In a unit, pairs compare MinHash values STEP by STEP. With a uniform prior, the posterior of a similarity s after m
    matches of n is Beta(m + 1, n - m + 1), so P(s >= t) is the probability that a binomial of n + 1 trials with success t is at
    most m. A pair is dropped once that falls below TOLERANCE. What remains is verified exactly on the sets of shingles.
@@ -37,6 +38,8 @@ THRESHOLD, TOLERANCE = 0.8, 1e-7
 HASHES, ROWS, STEP = 72, 3, 8
 #: Classes and shingles of a block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 1 << 19
+#: Classes of a band whose neighbours are looked up one by one.
+FEW = 64
 
 #: In a unit, rows of side 0 are compared to those of side 1, and rows of side SELF to each other.
 SELF = 2
@@ -181,6 +184,24 @@ def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array([s.distinct(k).tobytes() for k in range(len(texts))], pa.binary())], names=[*names, "shingles"])
 
 
+def placed(near: DataFrame, members: DataFrame) -> DataFrame:
+    """cid, unit, side: where the sets of classes meet. near: key, cid of bands; members: cid, root, block, blocks."""
+    alone = members.where("blocks = 1").select("cid", F.concat_ws(" ", "root").alias("unit"), F.lit(SELF).alias("side"))
+    there = saved(near.join(members.where("blocks > 1").select("cid", "root", "block"), "cid").select("key", "cid", "root", "block"), "blocks")
+    here = there.groupBy("key", "root", "block").agg(F.count("*").alias("n"))
+    sizes = here.groupBy("key").agg(F.sum("n").alias("size"))
+    few, many = sizes.where(F.col("size") <= FEW).select("key"), saved(sizes.where(F.col("size") > FEW).select("key"), "keys")
+    other = here.select("key", F.col("block").alias("other"), "n")
+    # a class alone in its block with a band meets nobody there
+    one = there.join(few, "key").join(other, "key").where("block <> other OR n > 1").select("cid", "root", "block", "other")
+    dense = here.join(many, "key")
+    pairs = dense.select("key", "root", "block").join(other, "key").select("root", "block", "other").distinct()
+    each = there.join(many, "key").select("cid", "root", "block").distinct().join(pairs, ["root", "block"]).select("cid", "root", "block", "other")
+    unit = F.concat_ws(" ", "root", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), SELF).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return alone.unionByName(one.unionByName(each).distinct().select("cid", unit.alias("unit"), side.alias("side")))
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, class_id, n_links, group_id, head_hash for each row of docs (doc_id, text).
 
@@ -204,16 +225,7 @@ def joined(docs: DataFrame) -> DataFrame:
     sized = members.groupBy("root").agg(blocks.alias("blocks"))
     members = members.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     members = saved(members, "members")
-    # units of a small component: itself; of a large one: its pairs of blocks that share a band
-    large = members.where("blocks > 1").select("cid", "root", "block")
-    there = near.join(large, "cid").select("key", "root", "block").distinct()
-    pairs = there.join(there.select("key", F.col("block").alias("other")), "key").where("block <= other").select("root", "block", "other").distinct()
-    pairs = saved(pairs, "pairs")
-    unit = lambda a, b: F.concat_ws(" ", "root", a, b)
-    alone = members.where("blocks = 1").select("cid", F.concat_ws(" ", "root").alias("unit"), F.lit(SELF).alias("side"))
-    first = large.join(pairs, ["root", "block"]).select("cid", unit("block", "other").alias("unit"), F.when(F.col("block") == F.col("other"), SELF).otherwise(0).alias("side"))
-    second = large.join(pairs.where("block <> other").select("root", F.col("block").alias("one"), F.col("other").alias("block")), ["root", "block"]).select("cid", unit("one", "block").alias("unit"), F.lit(1).alias("side"))
-    work = alone.unionByName(first).unionByName(second)
+    work = placed(near, members)
     # null ids match, too
     wanted = members.select("cid", "copies", "sig", F.col("id").alias("mid"), "th")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("mid")) & (F.col("text_hash") == F.col("th"))).select("cid", "copies", "sig", "text")

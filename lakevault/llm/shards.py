@@ -29,7 +29,7 @@ from lakevault.llm.common import partitions, pinned, saved
 
 U64 = np.uint64
 #: Children of a node of the merge tree, and keys in a node, about.
-FAN, NODE_KEYS = 512, 1 << 19
+FAN, NODE_KEYS = 1 << 15, 1 << 19
 PARTITION = 64 << 20
 SHARDS = "shard long, n_bytes long, lens binary, texts binary, others binary"
 

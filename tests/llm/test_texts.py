@@ -94,6 +94,35 @@ def test_near_copies(spark, monkeypatch, classes, size):
     assert [got[k] for k in range(len(texts))] == near(texts)
 
 
+@pytest.mark.parametrize("few", [64, 2])
+def test_near_copies_by_few_and_many(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 4)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = random.Random(18)
+    base = prose(rng, 60).split()
+    texts = corpus(4) + [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 60, 2)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in ngram_join.joined(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == near(texts)
+
+
+def test_a_chain_sends_sets_a_few_times(spark, monkeypatch):
+    """1,000 texts, each similar by about 0.6 to the next one: one component, and hardly any link."""
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 16)
+    placed, sent = ngram_join.placed, []
+
+    def counted(near, members):
+        out = placed(near, members)
+        sent.append((out.count(), members.agg({"blocks": "max"}).first()[0], members.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "placed", counted)
+    w = [f"w{k}" for k in range(25 * 1000 + 100)]
+    rows = ngram_join.joined(frame(spark, [" ".join(w[25 * k : 25 * k + 104]) for k in range(1000)])).collect()
+    assert {r.n_links for r in rows} == {0} and len(rows) == 1000
+    ((rows, blocks, members),) = sent
+    assert blocks > 8 and rows < 7 * members  # to all blocks of its component, a set would be sent 10 times and more
+
+
 def test_near_copies_of_odd_rows(spark):
     docs = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (4, ""), (4, "")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.class_id, r.n_links, r.group_id) for r in ngram_join.joined(docs).collect() if r.class_id is not None)
