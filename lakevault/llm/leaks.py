@@ -11,7 +11,8 @@ none does, for an item at the lower end of its class of which only 0.8 is left.
 whole document's shingles. Windows are built from minima of blocks of U, and those from blocks of U / 2, so that each
 hash function is applied to each shingle once.
 
-Items are read in blocks whose number follows from their count and words, and one block at a time is broadcast. Documents
+Distinct items are read in blocks whose number follows from their count and words, and one block at a time is broadcast;
+ids are joined to what was found. Documents
 are not shuffled, and a passage that a third of all documents hold is nobody's group.
 
 Defined results: an item or a text of fewer than five words is one shingle of all its words; items and texts without words
@@ -160,27 +161,30 @@ def searching(shared, threshold: float):
     return run
 
 
-def blocks(items: DataFrame, threshold: float = THRESHOLD) -> Iterator:
-    """The items, in broadcasts of a bounded size each."""
-    spark = items.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, words = items.agg(F.count("*"), F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()
+def distinct(items: DataFrame) -> DataFrame:
+    """number, text of the distinct texts of items, nulls left out."""
+    return saved(items.where("text IS NOT NULL").select("text").distinct().withColumn("number", F.monotonically_increasing_id()), "items")
+
+
+def blocks(texts: DataFrame, threshold: float = THRESHOLD) -> Iterator:
+    """Texts (number, text), each once, in broadcasts of a bounded size each."""
+    spark = texts.sparkSession
+    n, words = texts.agg(F.count("*"), F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()
     count = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(words / BLOCK_WORDS))
-    if count > 1:
-        items = saved(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count))), "items")
     for k in range(count):
-        rows = (items.where(F.col("block") == k) if count > 1 else items).select("item_id", "text").collect()
+        rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).select("number", "text").collect()
         yield spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], threshold))
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment: a row for each document that holds an item of items (item_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    for shared in blocks(items, threshold):
-        one = docs.mapInArrow(searching(shared, threshold), PAIRS)
+    texts, found = distinct(items), None
+    for shared in blocks(texts, threshold):
+        one = docs.mapInArrow(searching(shared, threshold), PAIRS).withColumnRenamed("item_id", "number")
         found = one if found is None else found.unionByName(one)
-    return found
+    ids = items.select(F.col("item_id").cast("long").alias("item_id"), "text").join(texts, "text").select("item_id", "number")
+    return found.join(ids, "number").select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
 
 
 def kept(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -194,7 +198,7 @@ def kept(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Dat
 
         return run
 
-    for shared in blocks(items, threshold):
+    for shared in blocks(distinct(items), threshold):
         docs = docs.mapInArrow(clean(shared), docs.schema)
     return docs
 
