@@ -16,7 +16,7 @@ more backslash after its bracket (``[INST]`` becomes ``[\\INST]``, and that ``[\
 string is left and each text can be restored exactly. The loss mask covers the assistant's texts.
 
 Defined results: null texts and null roles are empty; a null conv_id is a conversation of its own; rows of equal seq are
-ordered by turn, role and text, and repeated rows are repeated messages; an empty log gives no conversation; columns
+ordered by turn, role, text and kind, and repeated rows are repeated messages; an empty log gives no conversation; columns
 other than those named are not looked at. sha2 needs the whole of a conversation as one string, so a conversation must
 fit a row (2 GB); conversations are independent of each other.
 """
@@ -46,10 +46,10 @@ def messages(events: DataFrame) -> DataFrame:
     """The final messages of a log: conv_id, turn, nth (of several messages in a turn), role, text."""
     kind = F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise("message")
     events = events.select("conv_id", "seq", "turn", kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    later = Window.partitionBy("conv_id").orderBy(F.desc_nulls_last("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("conv_id").orderBy(*(F.desc_nulls_last(c) for c in ("seq", "turn", "role", "text", "kind"))).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.min(F.when(F.col("kind").isin("edit", "regenerate"), F.col("turn"))).over(later)
     kept = events.withColumn("cut", cut).where(F.col("cut").isNull() | F.col("turn").isNull() | (F.col("turn") <= F.col("cut")))
-    order = [F.asc_nulls_first("seq"), F.asc("role"), F.asc("text")]
+    order = [F.asc_nulls_first(c) for c in ("seq", "role", "text", "kind")]
     in_turn = Window.partitionBy("conv_id", "turn").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumn("nth", F.sum(F.when(F.col("kind") == "message", 1).otherwise(0)).over(in_turn))
     log = F.sort_array(F.collect_list(F.struct("seq", "role", "text", "kind")))
