@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lakevault.llm.common import new_path
@@ -117,3 +118,30 @@ def test_texts_that_share_an_id_are_no_copies(spark):
     assert len(heads) == 1
     gone = {(41, near_a), (None, c), (None, near_c)}
     assert sorted(map(key, got)) == sorted(map(key, [*set(rows) - gone, *heads]))
+
+
+def test_stages_keep_extra_columns(spark, tables):
+    d, rows, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 150 OR doc_id IS NULL")
+    names = ["id", "hash", "least", "n_words", "kept_sha256", "row", "n", "number"]
+    more = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names), F.create_map(F.lit("k"), F.lit("v")).alias("salt"))
+    for name, stage in cp.STAGES[:-1]:
+        plain = sorted(key(r) for r in stage(spark, docs, d).collect())
+        got = stage(spark, more, d)
+        assert got.columns == more.columns, name
+        got = got.collect()
+        assert sorted(key(r[:5]) for r in got) == plain, name
+        assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in got for n in names), name
+    assert sorted(map(key, cp.mix_sources(spark, more, d).collect())) == sorted(map(key, cp.mix_sources(spark, docs, d).collect()))
+
+
+def test_stages_of_empty_tables(spark, tables, tmp_path):
+    d = tables[0]
+    for n in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{d}/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 20")
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [] == stage(spark, docs.limit(0), d).collect()
+    for stage in (cp.drop_toxic, cp.drop_leaks):  # nothing to learn, nothing to look for
+        assert sorted(map(key, stage(spark, docs, str(tmp_path)).collect())) == sorted(map(key, docs.collect()))
+    assert cp.run(spark, str(tmp_path)).collect() == []
