@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; unset, a folder of our own in local mode alone."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = "/tmp/checkpoints/lakevault"
             sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():
@@ -49,6 +51,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key with more than this part of all rows is dealt out to so many tasks.
+SHARE, SALTS = 1 / 512, 64
+
+
+def met(rows: DataFrame, facts: DataFrame, key: str, by: str, total: float) -> DataFrame:
+    """rows joined with facts (key, n, ...; a row for each key, n: how many rows have it) on key, without n.
+
+    total: rows, about, or more. Rows of frequent keys are dealt out by the column by, and their facts to all parts. No more
+    than 1 / SHARE keys can be frequent, so they are broadcast.
+    """
+    frequent = F.col("n") > total * SHARE
+    some = F.broadcast(facts.where(frequent).select(F.col(key).alias("frequent_key")))
+    salt = F.when(F.col("frequent_key").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(some, F.col(key) == F.col("frequent_key"), "left").withColumn("salt", salt).drop("frequent_key")
+    parts = F.explode(F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    return dealt.join(facts.select("*", parts).drop("n"), [key, "salt"]).drop("salt")
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """df, checkpointed in the shared folder, with its partitioning known: joins on that need no shuffle.
 

@@ -3,7 +3,7 @@
 Each round first lets every node point its larger neighbours to its smallest one (large star), then its smaller
 neighbours and itself (small star); the number of rounds grows with the logarithm of a component's size. Before the
 first round each task contracts its own edges to a forest. Neighbours are only ever reduced to their minimum, never
-gathered, so a node with a third of all edges is summed up before the shuffle; joins with it can be split by AQE.
+gathered, so a node with a third of all edges is summed up before the shuffle; its edges meet its minimum in many tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import saved
+from lakevault.llm.common import met, saved
 
 #: Edges a task contracts at a time.
 BLOCK = 1 << 18
@@ -75,15 +75,15 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = saved(edges.mapInArrow(contracted(kind), f"u {kind}, v {kind}").distinct(), "edges")
-    before = None
+    before, total = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = met(both.where("v > u"), least, "u", "v", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = met(large, low, "u", "v", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = saved(small.distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before, total = state, state[0]

@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import partitions, saved, table
+from lakevault.llm.common import met, partitions, saved, table
 from lakevault.llm.components import components
 from lakevault.llm.ngram_join import SELF, forest
 from lakevault.llm.shards import U64, mixed, rows_of
 
 THRESHOLD = 0.95
 BUCKET, CHUNK, PROBES, MISS = 1024, 2048, 2, 1e-4
+#: What a dot product of unit vectors in single precision may be off by, with room.
+SLACK = 1e-4
 #: The estimated chance that two vectors at the threshold share one of PROBES axes.
 SHARED = 0.72
 
@@ -150,14 +152,19 @@ def compared(tables: int, parts: int, threshold: float):
         side, copies, x = np.array(side), np.array(copies, np.int64), unit_rows(list(vectors))
         left = np.flatnonzero(side != 1)
         right = left if (side == SELF).any() else np.flatnonzero(side == 1)
+        single = x.astype(np.float32)
+        others = np.ascontiguousarray(single[right].T)
         mine: np.ndarray | None = None
         links, label = np.zeros(len(cids), np.int64), np.arange(len(cids))
         for start in range(0, len(left), 512):
             rows = left[start : start + 512]
-            i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
+            # single precision sorts out; double precision decides
+            i, j = np.nonzero(single[rows] @ others >= np.float32(threshold - SLACK))
             i, j = rows[i], right[j]
             if left is right:
                 i, j = i[i < j], j[i < j]
+            near_ = np.concatenate([(x[i[s : s + 65536]] * x[j[s : s + 65536]]).sum(1) >= threshold for s in range(0, len(i), 65536)]) if len(i) else np.zeros(0, bool)
+            i, j = i[near_], j[near_]
             if not len(i):
                 continue
             if mine is None:
@@ -224,8 +231,8 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -
     links = told.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(told.where("cid <> parent").select("cid", "parent"))
     ids = groups.join(classes, F.col("node") == F.col("cid")).select("root", "cid", "least")
-    smallest = ids.groupBy("root").agg(F.min("least").alias("smallest"))
-    per = ids.join(smallest, "root").select("cid", "smallest").join(links, "cid")
+    smallest = ids.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("n"))
+    per = met(ids, smallest, "root", "cid", groups.count()).select("cid", "smallest").join(links, "cid")
     result = classes.join(per, "cid", "left").select("c1", "c2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     out = rows.select("vec_id", "c1", "c2").join(result, ["c1", "c2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

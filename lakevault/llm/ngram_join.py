@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import partitions, saved, table
+from lakevault.llm.common import met, partitions, saved, table
 from lakevault.llm.components import components
 from lakevault.llm.shards import U64, mixed, rows_of
 from lakevault.llm.shingles import Shingles, chunks, minima
@@ -235,8 +235,8 @@ def joined(docs: DataFrame) -> DataFrame:
     links = told.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(told.where("cid <> parent").select("cid", "parent"))
     ids = groups.join(classes, F.col("node") == F.col("cid")).select("root", "cid", "least", "head")
-    smallest = ids.groupBy("root").agg(F.min("least").alias("smallest"), F.min("head").alias("first"))
-    per = ids.join(smallest, "root").select("cid", "smallest", "first").join(links, "cid")
+    smallest = ids.groupBy("root").agg(F.min("least").alias("smallest"), F.min("head").alias("first"), F.count("*").alias("n"))
+    per = met(ids, smallest, "root", "cid", groups.count()).select("cid", "smallest", "first").join(links, "cid")
     result = classes.select("c1", "c2", "cid", "least", "head", "copies").join(per, "cid", "left").select(
         "c1", "c2", F.col("least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("group_id"), F.coalesce("first", "head")["text_hash"].alias("head_hash")
     )

@@ -6,17 +6,26 @@ aliases of one another: connected components over these edges are found distribu
 all of them. A page's own rule takes precedence: an allow rule keeps a page that is an alias of a blocked one, and pages
 that no rule and no blocked alias reach are allowed.
 
-Defined results: for a null url, or one without ``://``, host and path are empty and no rule fits; a fragment does not make
-another url; null html has no edges; relative links are resolved against the page's url; repeated urls share a verdict;
-an empty table gives no rows; other columns are not looked at.
+Links are read by an HTML parser (so that comments and scripts hold none, entities are decoded, and rel is a list of words)
+and resolved as RFC 3986 says, against the page's base if it names one. The SQL knows plain relative links only.
+
+Defined results: for a null url, or one without ``://``, host and path are empty and no rule fits; a fragment, or the case of
+scheme and host, does not make another url; null html has no edges, nor have links that are no valid url; repeated urls
+share a verdict; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import saved, table
+from lakevault.llm.common import met, saved, table
 from lakevault.llm.components import components
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -51,20 +60,50 @@ def decision(rule: Column, rules: list[tuple[str, str, str]]) -> Column:
 def key(url: Column) -> Column:
     """What makes two urls the same one: all but the fragment, the host in lower case."""
     bare = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
-    return F.concat(F.regexp_extract(bare, r"(?s)^(.*?://)?", 1), F.when(host(bare) != "", host(bare)).otherwise(""), F.when(bare.contains("://"), F.regexp_extract(bare, r"(?s)^.*?://[^/?]*(.*)$", 1)).otherwise(bare))
+    return F.concat(ascii_lower(F.regexp_extract(bare, r"(?s)^(.*?://)?", 1)), F.when(host(bare) != "", host(bare)).otherwise(""), F.when(bare.contains("://"), F.regexp_extract(bare, r"(?s)^.*?://[^/?]*(.*)$", 1)).otherwise(bare))
+
+
+class Links(HTMLParser):
+    """Canonical urls and refreshes of a page."""
+
+    def __init__(self, url: str):
+        super().__init__(convert_charrefs=True)
+        self.url, self.base, self.found = url, None, []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        has = {k: v or "" for k, v in reversed(attrs)}  # of repeated attributes the first counts
+        to = ""
+        if tag == "base" and self.base is None and has.get("href"):
+            self.base = self.full(has["href"])
+        elif tag == "link" and "canonical" in has.get("rel", "").lower().split():
+            to = has.get("href", "").strip()
+        elif tag == "meta" and has.get("http-equiv", "").strip().lower() == "refresh":
+            to = (re.findall(r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", has.get("content", "")) or [""])[0]
+        if to and (to := self.full(to)):
+            self.found.append(to)
+
+    def full(self, to: str) -> str | None:
+        try:
+            return urljoin(self.base or self.url, to)
+        except ValueError:
+            return None
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            page = Links(url)
+            page.feed(html)
+            page.close()
+            rows += [(url, to) for to in page.found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["url", "go"])
 
 
 def links(pages: DataFrame) -> DataFrame:
     """a, b: from each page's url to its canonical url and to where a refresh leads."""
-    tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<((?:link|meta)\b[^>]*)>"), F.lit(1))).alias("tag")
-    tags = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)<link\b[^>]*canonical|<meta\b[^>]*refresh")).select("url", tag)
-    canonical = F.when(F.col("tag").rlike(r"(?is)^link\b.*\brel\s*=\s*[\"']?\s*canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?is)^meta\b.*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    to = tags.select("url", F.coalesce(canonical, refresh).alias("to")).where("to <> ''")
-    scheme, root = F.regexp_extract("url", r"^([^:/?#]*:)", 1), F.regexp_extract("url", r"^([^:/?#]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract("url", r"^([^?#]*)", 1), r"(?<=[^/:])/[^/]*$", "")
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(root, "to")).otherwise(F.concat(folder, F.lit("/"), "to"))
-    return to.select(key(F.col("url")).alias("a"), key(full).alias("b"))
+    some = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)<link\b[^>]*canonical|<meta\b[^>]*refresh")).select("url", "html")
+    return some.mapInArrow(linked, "url string, go string").select(key(F.col("url")).alias("a"), key(F.col("go")).alias("b"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -80,8 +119,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: D
         return own.select("page_id", "url", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
     nodes = components(found, "string")
     blocked = F.max((decision(ruled(host(F.col("node")), path(F.col("node")), rules), rules) == "block").cast("int"))
-    bad = nodes.groupBy("root").agg(F.coalesce(blocked, F.lit(0)).alias("bad")).where("bad = 1").select("root")
-    bad = nodes.join(bad, "root").select(F.col("node").alias("key"), F.lit("block").alias("alias"))
+    bad = nodes.groupBy("root").agg(F.coalesce(blocked, F.lit(0)).alias("bad"), F.count("*").alias("n")).where("bad = 1").select("root", "n")
+    bad = met(nodes, bad, "root", "node", nodes.count()).select(F.col("node").alias("key"), F.lit("block").alias("alias"))
     judged = own.join(bad, "key", "left")
     return judged.select("page_id", "url", "host", "path", "rule", F.coalesce("own", "alias", F.lit("allow")).alias("verdict"))
 
