@@ -68,10 +68,11 @@ def version_digest(ts: Column, root: Column) -> Column:
     return digest(F.concat(F.unhex(size), F.encode(iso, "utf-8"), F.unhex(root)))
 
 
-def display_time(ts: Column) -> Column:
-    """Like C's %c, in UTC."""
+def display_time(ts: Column, zone: str = "UTC") -> Column:
+    """Like C's %c, in a time zone, for sessions in UTC."""
+    ts = ts if zone == "UTC" else F.from_utc_timestamp(ts, zone)
     day = F.lpad(F.date_format(ts, "d"), 2, " ")
-    return F.concat(F.date_format(ts, "EEE MMM "), day, F.date_format(ts, " HH:mm:ss"), F.lit(" UTC "), F.date_format(ts, "yyyy"))
+    return F.concat(F.date_format(ts, "EEE MMM "), day, F.date_format(ts, " HH:mm:ss"), F.lit(f" {zone} "), F.date_format(ts, "yyyy"))
 
 
 def units(number: Column) -> Column:

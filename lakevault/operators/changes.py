@@ -84,8 +84,3 @@ def patched(dirs: DataFrame, files: DataFrame, changes: DataFrame, local: DataFr
     found = local.withColumn("from", F.explode(F.transform(above, lambda x: F.concat(F.lit("/"), x)))).join(again, "from")
     copied = found.select(F.concat("path", F.substr("local_path", F.length("from") + 1)).alias("path"), "file_digest")
     return build(loose.unionByName(copied), outer)
-
-
-def last_of_each(changes: DataFrame) -> DataFrame:
-    w = Window.partitionBy("path").orderBy(F.desc("seq"))
-    return changes.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")

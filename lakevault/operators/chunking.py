@@ -64,7 +64,8 @@ def reassembled(file_chunks: DataFrame, stored: DataFrame, by: str = "file_diges
     """by, content: chunks joined by digest, put in order. Empty files have no chunks and no row."""
     parts = file_chunks.join(stored.select("chunk_digest", "content"), "chunk_digest")
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "content")))
-    return parts.groupBy(by).agg(F.unhex(F.array_join(F.transform(ordered, lambda x: F.hex(x["content"])), "")).alias("content"))
+    # each byte as one character, as only strings can be joined
+    return parts.groupBy(by).agg(F.encode(F.array_join(F.transform(ordered, lambda x: F.decode(x["content"], "ISO-8859-1")), ""), "ISO-8859-1").alias("content"))
 
 
 def offsets(file_chunks: DataFrame, by: str = "file_digest") -> DataFrame:

@@ -34,11 +34,6 @@ def selected(tree_entries: DataFrame, root_digest: DataFrame, wanted: list[tuple
     return share_names(tree_entries, root_digest).join(F.broadcast(asked), "name").select("name", "destination", "tree_digest")
 
 
-def unknown(tree_entries: DataFrame, root_digest: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
-    spark = tree_entries.sparkSession
-    return spark.createDataFrame([(n,) for n in dict(wanted)], "name string").join(share_names(tree_entries, root_digest), "name", "left_anti")
-
-
 def per_share(files: DataFrame) -> DataFrame:
     """share, n_files, size: sums over files (share, size)."""
     return files.groupBy("share").agg(F.count("*").alias("n_files"), F.sum("size").alias("size"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import Event, Thread
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,3 +19,26 @@ def throughput(counts: DataFrame, at: str, n: str, seconds: float) -> DataFrame:
     total = F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = counts.withColumn("total", total)
     return out.withColumn("per_second", ((F.col("total") - F.coalesce(F.lag("total").over(w), F.lit(0))) / seconds).cast("double"))
+
+
+@contextmanager
+def reported(spark: SparkSession, say: Callable[[str], None], every: float = 1.0) -> Iterator[None]:
+    """Says how far running stages are while the block runs, every so many seconds, and a last time at its end."""
+    tracker, done = spark.sparkContext.statusTracker(), Event()
+
+    def line() -> str:
+        stages = [x for x in map(tracker.getStageInfo, tracker.getActiveStageIds()) if x]
+        return f"{len(stages)} stages, {sum(x.numCompletedTasks for x in stages)} of {sum(x.numTasks for x in stages)} tasks"
+
+    def run() -> None:
+        while not done.wait(every):
+            say(line())
+
+    thread = Thread(target=run, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        say(line())

@@ -24,6 +24,8 @@ SCHEMAS = {
 }
 #: The column that names an object, by table.
 KEYS = {"chunks": "chunk_digest", "files_obj": "file_digest", "trees": "tree_digest", "versions": "version_digest"}
+#: The tables that hold objects of a kind.
+HELD = {"chunk": ("chunks",), "file": ("files_obj", "file_chunks"), "tree": ("trees", "tree_entries")}
 KINDS = {"version": "versions", "tree": "trees", "file": "files_obj", "chunk": "chunks"}
 
 
@@ -72,19 +74,30 @@ def version(spark: SparkSession, root: DataFrame, timestamp: str) -> DataFrame:
     return root.select(version_digest(ts, F.col("tree_digest")).alias("version_digest"), ts.alias("ver_timestamp"), F.col("tree_digest").alias("ver_root"))
 
 
-def backup(files: DataFrame, timestamp: str, cut: GearConfig | int = GearConfig()) -> Backup:
-    """Files (path, content) as objects, and a version. Contents are cut once, and only distinct chunks carry them on."""
-    spark = files.sparkSession
-    cut_up = chunks(files, cut)
-    pieces = durable(cut_up.select("path", "ordinal", "begin", "end", "size", "chunk_digest"))
+def backup(files: DataFrame, timestamp: str, cut: GearConfig | int = GearConfig(), known: DataFrame | None = None) -> Backup:
+    """Files (path, content) as objects, and a version. Contents are cut once; only chunks that are not known carry them on."""
+    pieces = durable(chunks(files, cut).select("path", "ordinal", "begin", "end", "size", "chunk_digest"))
     found = durable(file_objects(files, pieces))
     dirs, entries = T.build(found)
     dirs, entries = durable(dirs), durable(entries)
-    return Backup(stored(spark, cut_up, pieces, found, dirs, entries, timestamp), found, pieces, dirs, entries)
+    return Backup(stored(files, pieces, found, dirs, entries, timestamp, known), found, pieces, dirs, entries)
 
 
-def stored(spark: SparkSession, cut_up: DataFrame, pieces: DataFrame, found: DataFrame, dirs: DataFrame, entries: DataFrame, timestamp: str) -> Store:
-    one = cut_up.select("chunk_digest", "size", F.col("chunk").alias("content")).dropDuplicates(["chunk_digest"])
+def contents(files: DataFrame, pieces: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """chunk_digest, size, content: each chunk of pieces once that is not known (chunk_digest).
+
+    Digests meet first, without contents; then only files that hold the chosen place of a new chunk are read, and cut there.
+    """
+    place = pieces.groupBy("chunk_digest").agg(F.min(F.struct("path", "ordinal", "begin", "size")).alias("at"))
+    if known is not None:
+        place = place.join(known.select("chunk_digest"), "chunk_digest", "left_anti")
+    parts = place.groupBy("at.path").agg(F.collect_list(F.struct("chunk_digest", "at.begin", "at.size")).alias("parts"))
+    each = files.select("path", "content").join(parts, "path").select("content", F.explode("parts").alias("p"))
+    return each.select("p.chunk_digest", "p.size", F.substring("content", (F.col("p.begin") + 1).cast("int"), F.col("p.size").cast("int")).alias("content"))
+
+
+def stored(files: DataFrame, pieces: DataFrame, found: DataFrame, dirs: DataFrame, entries: DataFrame, timestamp: str, known: DataFrame | None = None) -> Store:
+    spark, one = files.sparkSession, contents(files, pieces, known)
     sample = found.groupBy("file_digest").agg(F.min("path").alias("path"))
     file_chunks = pieces.join(sample, "path").select("file_digest", "ordinal", "chunk_digest", "begin", "end", "size")
     trees, tree_entries = T.tables(dirs, entries)
@@ -128,11 +141,11 @@ def missing(store: Store, reached: DataFrame) -> DataFrame:
     return reached.join(store.digests(), ["kind", "digest"], "left_anti")
 
 
-def collected(store: Store, force: bool = False) -> Store:
-    """The store without garbage."""
+def collected(store: Store, force: bool = False, reached: DataFrame | None = None) -> Store:
+    """The store without garbage; reached: what is live, if known."""
     if not force and store.versions.isEmpty():
         raise NoVersions("no version is stored; force deletes all objects")
-    reached = durable(live(store))
+    reached = durable(live(store)) if reached is None else reached
     keep = lambda df, kind, key: df.join(reached.where(F.col("kind") == kind).select(F.col("digest").alias(key)), key, "left_semi")
     return replace(
         store, chunks=keep(store.chunks, "chunk", "chunk_digest"), file_chunks=keep(store.file_chunks, "file", "file_digest"), files_obj=keep(store.files_obj, "file", "file_digest"),
@@ -171,6 +184,14 @@ def restored(store: Store, root: DataFrame, levels: int | None = None) -> DataFr
     return files.join(whole, "file_digest", "left").select("path", "file_digest", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
+def pieces_below(store: Store, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """path, file_digest of all files below root; and path, ordinal, content of their chunks, one row without for an empty file."""
+    listed = T.listing(store.tree_entries, root).where("kind = 'file'")
+    files = durable(listed.select(F.regexp_replace("path", "^/", "").alias("path"), F.col("digest").alias("file_digest")))
+    parts = files.join(store.file_chunks.select("file_digest", "ordinal", "chunk_digest"), "file_digest", "left").join(store.chunks.select("chunk_digest", "content"), "chunk_digest", "left")
+    return files, parts.select("path", "ordinal", "content")
+
+
 def statistics(run: Backup, before: Store | None = None, version_bytes: int = 0) -> DataFrame:
     """One row: processed, new and total counts of files, directories and chunks, and the bytes written.
 
@@ -193,7 +214,7 @@ def progress_line(stats: DataFrame) -> DataFrame:
     c = F.col
     return stats.select(
         F.format_string(
-            "(new %d) %d/%d processed files, (new %d) %d/%d processed dirs, (new %d) %d processed chunks, %d uploaded/transfered bytes",
-            c("new_file_count"), c("processed_file_count"), c("total_file_count"), c("new_dir_count"), c("processed_dir_count"), c("total_dir_count"), c("new_chunk_count"), c("processed_chunk_count"), c("uploaded_bytes"),
+            "files: %d of %d, %d new; folders: %d of %d, %d new; chunks: %d, %d new; stored: %d bytes",
+            c("processed_file_count"), c("total_file_count"), c("new_file_count"), c("processed_dir_count"), c("total_dir_count"), c("new_dir_count"), c("processed_chunk_count"), c("new_chunk_count"), c("uploaded_bytes"),
         ).alias("line")
     )

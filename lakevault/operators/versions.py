@@ -12,12 +12,12 @@ def in_order(versions: DataFrame) -> DataFrame:
     return versions.orderBy("ver_timestamp", "version_digest")
 
 
-def as_text(versions: DataFrame) -> DataFrame:
-    return versions.select("ver_timestamp", "version_digest", F.concat(display_time(F.col("ver_timestamp")), F.lit(" - version digest ["), "version_digest", F.lit("] - tree root digest ["), "ver_root", F.lit("]")).alias("line"))
+def as_text(versions: DataFrame, zone: str = "UTC") -> DataFrame:
+    return versions.select("ver_timestamp", "version_digest", F.concat(display_time(F.col("ver_timestamp"), zone), F.lit(" - version digest ["), "version_digest", F.lit("] - tree root digest ["), "ver_root", F.lit("]")).alias("line"))
 
 
-def as_json(versions: DataFrame) -> DataFrame:
-    object_ = F.struct(F.col("version_digest").alias("digest"), display_time(F.col("ver_timestamp")).alias("timestamp"), F.col("ver_root").alias("tree_root"))
+def as_json(versions: DataFrame, zone: str = "UTC") -> DataFrame:
+    object_ = F.struct(F.col("version_digest").alias("digest"), display_time(F.col("ver_timestamp"), zone).alias("timestamp"), F.col("ver_root").alias("tree_root"))
     return versions.select("ver_timestamp", "version_digest", F.to_json(object_).alias("line"))
 
 

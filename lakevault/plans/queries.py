@@ -41,8 +41,19 @@ def query(sql: str | None = None):
     return add
 
 
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables' files: a backup is kept only as long as these are."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)))
+
+
+def forget() -> None:
+    """Lets go of all backups."""
+    _made.clear()
+
+
 def backed_up(spark: SparkSession, sf_dir: str, which: str) -> Backup:
-    key = (spark.sparkContext.applicationId, sf_dir, which)
+    key = (spark.sparkContext.applicationId, sf_dir, state(spark, sf_dir), which)
     if key not in _made:
         files = (src.snapshot_a if which == "a" else src.snapshot_b)(spark, sf_dir)
         run = store.backup(files, TIMES[which], STEP)
@@ -122,6 +133,17 @@ def cdc_size_bounds(spark, d):
     return per.select("path", "size", gapless.alias("gapless"), "too_long", short.alias("too_short"))
 
 
+@query(oracle.sql("SELECT sum(octet_length(content))::BIGINT AS total_bytes, true AS all_in_files, true AS no_digest_twice, true AS dedup_saves FROM a_files"))
+def cdc_chunk_invariants(spark, d):
+    """What SQL can say of content-defined chunks: they hold all bytes, distinct ones no more, and a digest has one size."""
+    pieces = chunking.chunks(src.snapshot_a(spark, d), CDC).select("chunk_digest", "size")
+    sizes = pieces.groupBy("chunk_digest").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    return sizes.agg(
+        F.sum(F.col("n") * F.col("low")).alias("total_bytes"), F.min("low").__gt__(0).alias("all_in_files"), F.every(F.col("low") == F.col("high")).alias("no_digest_twice"),
+        (F.sum("low") < F.sum(F.col("n") * F.col("low"))).alias("dedup_saves"),
+    )
+
+
 @query()
 def cdc_chunk_dedup(spark, d):
     return chunking.dedup_report(chunking.chunks(src.snapshot_a(spark, d), CDC).select("chunk_digest", "size"))
@@ -172,6 +194,15 @@ def root_tree_digest(spark, d):
     return root(backed_up(spark, d, "a"))
 
 
+@query(oracle.a("SELECT version_digest, (SELECT count(*) FROM a_files) AS n_files, (SELECT count(DISTINCT chunk_digest) FROM a_pieces) AS n_chunks, (SELECT sum(size)::BIGINT FROM (SELECT DISTINCT chunk_digest, size FROM a_pieces)) AS n_bytes FROM a_version"))
+def full_backup(spark, d):
+    """The first snapshot backed up anew, contents and all, whatever was kept of earlier queries."""
+    run = store.backup(src.snapshot_a(spark, d), TIMES["a"], STEP)
+    kept = durable(run.store.chunks)
+    told = kept.agg(F.count("*").alias("n_chunks"), F.sum(F.octet_length("content").cast("long")).alias("n_bytes"))
+    return run.store.versions.select("version_digest").crossJoin(run.files.agg(F.count("*").alias("n_files"))).crossJoin(told)  # of one row each
+
+
 @query(oracle.a("SELECT * FROM a_version"))
 def version_commit(spark, d):
     return backed_up(spark, d, "a").store.versions
@@ -436,8 +467,8 @@ def backup_statistics(spark, d):
     return store.statistics(backed_up(spark, d, "b"), backed_up(spark, d, "a").store)
 
 
-@query(oracle.both(f"""SELECT '(new ' || new_file_count || ') ' || processed_file_count || '/' || total_file_count || ' processed files, (new ' || new_dir_count || ') ' || processed_dir_count || '/' || total_dir_count
-  || ' processed dirs, (new ' || new_chunk_count || ') ' || processed_chunk_count || ' processed chunks, ' || uploaded_bytes || ' uploaded/transfered bytes' AS line FROM ({COUNTERS})"""))
+@query(oracle.both(f"""SELECT 'files: ' || processed_file_count || ' of ' || total_file_count || ', ' || new_file_count || ' new; folders: ' || processed_dir_count || ' of ' || total_dir_count || ', ' || new_dir_count
+  || ' new; chunks: ' || processed_chunk_count || ', ' || new_chunk_count || ' new; stored: ' || uploaded_bytes || ' bytes' AS line FROM ({COUNTERS})"""))
 def progress_line(spark, d):
     return store.progress_line(store.statistics(backed_up(spark, d, "b"), backed_up(spark, d, "a").store))
 

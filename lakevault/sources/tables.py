@@ -35,6 +35,11 @@ def folder(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("path", F.regexp_replace("path", prefix, ""))
 
 
+def of_bytes(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
+    """path, content of files that are given as bytes, which have to fit the driver."""
+    return spark.createDataFrame([(p, bytearray(c)) for p, c in contents.items()], "path string, content binary")
+
+
 def byte_range(content: Column, first: Column, last: Column) -> Column:
     """Bytes first to last, counted from 0, both included."""
     return F.substring(content, first + 1, last - first + 1)

@@ -310,6 +310,71 @@ def test_engine_with_stat_cache(spark, tmp_path):
     assert {r.path: bytes(r.content) for r in e.restore(roots[v1]).collect()} == {"a": b"one", "d/b": b"two"}
 
 
+def size_of(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_gc_and_passwords_free_what_they_say(spark, tmp_path):
+    at = tmp_path / "repo"
+    e = Engine.init(spark, str(at), b"one", CUT)
+    v1 = e.backup(files(spark, {"keep": random.Random(1).randbytes(3000), "go": random.Random(2).randbytes(30_000)}), T1)
+    v2 = e.backup(files(spark, {"keep": random.Random(1).randbytes(3000)}), T2)
+    before = {p: p.stat().st_mtime_ns for p in at.rglob("*.parquet")}
+    assert e.gc().collect() == [] and {p: p.stat().st_mtime_ns for p in at.rglob("*.parquet")} == before
+    full = size_of(at)
+    versions = e.store().versions.where(F.col("version_digest") == v2)
+    e._write_tables(store.Store(**{t: getattr(e.store(), t) for t in store.SCHEMAS} | {"versions": versions}), ["versions"])
+    kinds = {r.kind for r in e.gc().collect()}
+    assert kinds == {"tree", "file", "chunk"} and size_of(at) < full - 25_000
+    assert e.gc().collect() == [] and e.integrity_check().collect() == []
+    root = e.store().versions.first().ver_root
+    assert [r.path for r in e.restore(root).collect()] == ["keep"]
+    e.change_password(b"one", b"two")
+    assert len(list((at / "config").iterdir())) == 1
+    with pytest.raises(PermissionError):
+        Engine(spark, str(at), b"one")
+    assert Engine(spark, str(at), b"two").cat_file(e.find(v2).where("path = '/keep'").first().digest) == random.Random(1).randbytes(3000)
+    with pytest.raises(LookupError):
+        e.find(v1)
+
+
+def test_inputs_are_checked(spark, tmp_path):
+    e = Engine.init(spark, str(tmp_path / "repo"), cut=CUT)
+    v = e.familiar_backup({"etc/x": b"c"}, [("home", files(spark, {"u/f": b"1234"}))], T1)
+    for bad in (lambda: e.cat_chunk("x"), lambda: e.find("zz"), lambda: e.find(v, "a/../b"), lambda: e.familiar_backup({}, [("a/b", files(spark, {"x": b""}))]), lambda: e.familiar_backup({}, [("a", spark.range(1))])):
+        with pytest.raises(ValueError):
+            bad()
+    shares = e.find(v, depth=1).where("kind = 'dir' AND level = 1").collect()
+    path = next(f"{r.path}home/u/f" for r in shares if not e.lookup(v, f"{r.path}home/u/f").isEmpty())
+    assert [tuple(r) for r in e.lookup(v, path).collect()] == [(path, 0o100644, "file", 4)]
+    assert e.lookup(v, path + "x").collect() == [] and e.lookup(v, "/").first().kind == "dir"
+    assert "Asia/Tokyo 2024" in e.versions(zone="Asia/Tokyo").first().line and "09:00:00" in e.versions(zone="Asia/Tokyo").first().line
+    out = store.backup(files(spark, {"../x": b"1"}), T2, CUT)
+    e._commit(out.store)
+    (tmp_path / "out").mkdir()
+    with pytest.raises(ValueError, match="stay below"):
+        e.restore_to(out.store.versions.first().ver_root, str(tmp_path / "out"))
+    assert list((tmp_path / "out").iterdir()) == []
+
+
+def test_contents_of_new_chunks_only(spark):
+    content = {"a": b"x" * 900 + b"y" * 500, "b": b"y" * 500, "c": b""}
+    pieces = chunking.chunks(files(spark, content), 100).drop("chunk")
+    every = store.contents(files(spark, content), pieces).collect()
+    assert sorted(bytes(r.content) for r in every) == [b"x" * 100, b"y" * 100]
+    known = pieces.where("path = 'b'").select("chunk_digest")
+    assert [bytes(r.content) for r in store.contents(files(spark, content), pieces, known).collect()] == [b"x" * 100]
+
+
+def test_progress_is_said(spark):
+    from lakevault.operators.progress import reported
+
+    said = []
+    with reported(spark, said.append, 0.05):
+        spark.range(0, 40_000_000, 1, 8).selectExpr("sum(hash(id, sha2(cast(id as string), 256)))").collect()
+    assert said and all("tasks" in x for x in said)
+
+
 def test_familiar(spark, tmp_path):
     e = Engine.init(spark, str(tmp_path / "repo"), cut=CUT)
     v = e.familiar_backup(files(spark, {"etc/x": b"c"}), [("home", files(spark, {"u/f": b"1"})), ("music", files(spark, {"s": b"2"}))], T1)
@@ -336,6 +401,28 @@ def test_stream_of_changes(spark, tmp_path):
     assert {r.path: bytes(r.content) for r in e.restore(new).collect()} == {"a": b"1"}
 
 
+def test_streams_start_again(spark, tmp_path):
+    from lakevault.streaming.ingest import distinct_chunks, lines, patches
+
+    e = Engine.init(spark, str(tmp_path / "repo"), cut=CUT)
+    e.backup(files(spark, {"a": b"1", "b": b"2", "c": b"3"}), T1)
+    root = e.store().versions.first().ver_root
+    (source := tmp_path / "changes").mkdir()
+    nothing = spark.createDataFrame([], "local_path string, content binary")
+    for k, name in enumerate("ab"):  # the second run knows nothing but the checkpoint and the repository
+        (source / f"{k}.txt").write_text(f"{name} remove\n")
+        e = Engine(spark, str(tmp_path / "repo"))
+        patches(e, root, lines(spark, str(source)), lambda _: nothing).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    newest = e.versions().collect()[-1].version_digest
+    assert [r.path for r in e.find(newest).where("kind = 'file'").collect()] == ["/c"]
+    (chunks := tmp_path / "chunks").mkdir()
+    for k, rows in enumerate((["x", "y", "x"], ["y", "z"])):
+        spark.createDataFrame([(r,) for r in rows], "chunk_digest string").coalesce(1).write.mode("append").json(str(chunks))
+        stream = spark.readStream.schema("chunk_digest string").json(str(chunks))
+        distinct_chunks(stream, str(tmp_path / "known")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "known")).count() == 2 + k
+
+
 def test_entry():
     import __spark_entry__ as entry
 
