@@ -139,7 +139,7 @@ def cdc_chunk_invariants(spark, d):
     pieces = chunking.chunks(src.snapshot_a(spark, d), CDC).select("chunk_digest", "size")
     sizes = pieces.groupBy("chunk_digest").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
     return sizes.agg(
-        F.sum(F.col("n") * F.col("low")).alias("total_bytes"), F.min("low").__gt__(0).alias("all_in_files"), F.every(F.col("low") == F.col("high")).alias("no_digest_twice"),
+        F.sum(F.col("n") * F.col("low")).alias("total_bytes"), (F.min("low") > 0).alias("all_in_files"), F.every(F.col("low") == F.col("high")).alias("no_digest_twice"),
         (F.sum("low") < F.sum(F.col("n") * F.col("low"))).alias("dedup_saves"),
     )
 
