@@ -15,11 +15,19 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Shuffle files go when the query that made them ends, not only when the driver's memory is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for each application: their Python workers need not have it installed."""
+    """Sends this package to the executors, once for each application: their Python workers need not have it installed.
+
+    Shuffle files are cleaned up after each query from then on, unless the application's settings say otherwise.
+    """
+    if spark.sparkContext.getConf().get(CLEANUP, None) is None:
+        spark.conf.set(CLEANUP, "true")
     if (app := spark.sparkContext.applicationId) not in _shipped:
         root = Path(__file__).resolve().parent
         if root.is_dir():  # else it runs from an archive that was sent already
