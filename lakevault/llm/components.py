@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import met, saved
+from lakevault.llm.common import dropped, met, saved
 
 #: Edges a task contracts at a time.
 BLOCK = 1 << 18
@@ -89,5 +89,6 @@ def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
         large = met(both.where("v > u"), least, "u", "v", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = met(large, low, "u", "v", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = saved(small.distinct(), "edges")
+        before, edges = edges, saved(small.distinct(), "edges")
+        dropped(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

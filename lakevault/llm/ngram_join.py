@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import met, partitions, saved, table
+from lakevault.llm.common import dropped, met, partitions, saved, table
 from lakevault.llm.components import components
 from lakevault.llm.shards import U64, mixed, rows_of
 from lakevault.llm.shingles import Shingles, chunks, minima
@@ -217,8 +217,8 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     bands = classes.select("cid", "sig").mapInArrow(banded, "key long, cid long")
-    least = bands.groupBy("key").agg(F.min("cid").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
-    near = saved(bands.join(least, "key"), "bands")
+    least = bands.groupBy("key").agg(F.min("cid").alias("low"), F.count("*").alias("n")).where("n > 1")
+    near = saved(met(bands, least, "key", "cid", classes.count() * HASHES / ROWS), "bands")
     tree = components(near.where("cid <> low").select("cid", "low"))
     members = tree.join(classes, F.col("node") == F.col("cid")).select("cid", "root", "copies", "n", "sig", "c1", "c2", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("th"))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
@@ -232,6 +232,7 @@ def joined(docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(with_sets, "cid long, copies long, sig binary, shingles binary")
     told = sets.join(work, "cid").select("unit", "side", "cid", "copies", "sig", "shingles").repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(units, TOLD)
     told = saved(told, "links")
+    dropped(near, members)
     links = told.groupBy("cid").agg(F.sum("links").alias("links"))
     groups = components(told.where("cid <> parent").select("cid", "parent"))
     ids = groups.join(classes, F.col("node") == F.col("cid")).select("root", "cid", "least", "head")
