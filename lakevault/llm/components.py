@@ -1,9 +1,13 @@
 """Connected components of a graph given as edges, by alternating star operations on DataFrames.
 
+An edge (u, v) points from a node to a smaller one. Before the first round each task contracts its own edges to a forest.
 Each round first lets every node point its larger neighbours to its smallest one (large star), then its smaller
-neighbours and itself (small star); the number of rounds grows with the logarithm of a component's size, and they end
-with the first that leaves stars alone. Before the first round each task contracts its own edges to a forest. Neighbours are only ever reduced to their minimum, never
-gathered, so a node with a third of all edges is summed up before the shuffle; its edges meet its minimum in many tasks.
+neighbours and itself (small star), and contracts what a task holds again. Rounds end once stars are left; their number
+grows with the logarithm of a component's size. A star is one window over one shuffle; no step makes more edges than it got.
+
+Nodes with a large share of all edges are never in one window. One sum before each round finds them, with their smallest
+neighbours. In the large star their edges take that from a broadcast; in the small star they are dealt out to SALTS windows,
+which leave them SALTS edges at most. There are 2 / SHARE such nodes at most, as the sum of all neighbours is twice the edges.
 """
 
 from __future__ import annotations
@@ -11,13 +15,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakevault.llm.common import dropped, met, saved
+from lakevault.llm.common import SALTS, SHARE, dropped, saved
 
 #: Edges a task contracts at a time.
 BLOCK = 1 << 18
+#: A node with fewer neighbours is never dealt out; above SALTS, so that a node that was isn't for ever.
+LEAST = 1024
 
 
 class Forest:
@@ -70,25 +76,52 @@ def contracted(kind: str):
     return run
 
 
-def starry(edges: DataFrame) -> bool:
-    """Whether edges (u, v: v < u) are stars: each u has one edge, and no v is a u. Sums alone, before and after one shuffle."""
-    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    per = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return per.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+def both_ways(edges: DataFrame) -> DataFrame:
+    """k, x: each edge from both of its ends."""
+    return edges.select(F.col("u").alias("k"), F.col("v").alias("x")).unionByName(edges.select(F.col("v").alias("k"), F.col("u").alias("x")))
+
+
+def surveyed(edges: DataFrame) -> tuple[bool, DataFrame]:
+    """Whether the edges are stars (each u has one v, and no v is a u), and hot, m, above of the nodes to deal out.
+
+    m is the smallest neighbour, or the node itself; above says whether so many of its neighbours are smaller ones.
+    """
+    limit = max(edges.count() * SHARE, LEAST)
+    up = F.when(F.col("x") < F.col("k"), F.col("x"))
+    per = both_ways(edges).groupBy("k").agg(F.min(up).alias("lo"), F.max(up).alias("hi"), F.count(up).alias("n_up"), F.count("*").alias("n"))
+    done = F.col("lo").isNull() | ((F.col("lo") == F.col("hi")) & (F.col("n_up") == F.col("n")))
+    hot = F.struct(F.col("k").alias("hot"), F.least("lo", "k").alias("m"), (F.col("n_up") > limit).alias("above"))
+    found = per.agg(F.coalesce(F.bool_and(done), F.lit(True)).alias("done"), F.collect_list(F.when(F.col("n") > limit, hot)).alias("hot")).first()
+    kind = edges.schema["u"].dataType.simpleString()
+    return found["done"], edges.sparkSession.createDataFrame(found["hot"], f"hot {kind}, m {kind}, above boolean")
+
+
+def large_star(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    met = both_ways(edges).join(F.broadcast(hot.select("hot", F.col("m").alias("known"))), F.col("k") == F.col("hot"), "left")
+    larger, least = F.col("x") > F.col("k"), F.least("k", F.min("x").over(Window.partitionBy("k")))
+    rest = met.where("hot IS NULL").select("k", "x").withColumn("m", least).where(larger)
+    return rest.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(met.where(F.col("hot").isNotNull() & larger).select(F.col("x").alias("u"), F.col("known").alias("v")))
+
+
+def small_star(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each edge gives one: that to the smallest neighbour stays, and other neighbours point to it."""
+    dealt = edges.join(F.broadcast(hot.where("above").select("hot")), F.col("u") == F.col("hot"), "left")
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0)
+    least = F.min("v").over(Window.partitionBy("u", "salt"))
+    return dealt.select("u", "v", salt.alias("salt")).withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame, kind: str = "bigint") -> DataFrame:
     """node, root for every node that has an edge to another node; edges: two columns of type kind, nulls and loops are left out. root is the smallest node."""
     a, b = edges.columns
+    forest = contracted(kind)
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = saved(edges.mapInArrow(contracted(kind), f"u {kind}, v {kind}").distinct(), "edges")
-    while not starry(edges):
-        total = edges.count()
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = met(both.where("v > u"), least, "u", "v", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = met(large, low, "u", "v", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        before, edges = edges, saved(small.distinct(), "edges")
+    edges = saved(edges.mapInArrow(forest, f"u {kind}, v {kind}"), "edges")
+    while True:
+        done, hot = surveyed(edges)
+        if done:
+            break
+        stars = small_star(large_star(edges, hot), hot)
+        before, edges = edges, saved(stars.mapInArrow(forest, f"u {kind}, v {kind}"), "edges")
         dropped(before)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -109,6 +109,23 @@ def test_a_hub_is_split(spark):
     assert got == {x: roots[a] for a, b in links for x in (a, b)}
 
 
+def test_nodes_with_many_edges_are_dealt_out(spark, monkeypatch):
+    """A node with many larger and many smaller neighbours is in no window whole, and components are the same."""
+    for name, value in (("BLOCK", 4), ("LEAST", 12), ("SALTS", 4)):
+        monkeypatch.setattr(cc, name, value)
+    links = [*((500, k) for k in range(400, 480)), *((500, k) for k in range(600, 700)), (699, 499), (499, 480), (900, 901), (901, 902)]
+    links += [(k, 600 + k % 100) for k in range(1000, 1100)]
+    random.Random(3).shuffle(links)
+    edges = spark.createDataFrame([(max(x), min(x)) for x in links], "u long, v long")
+    done, hot = cc.surveyed(edges)
+    assert not done and {tuple(r) for r in hot.collect()} == {(500, 400, True)}
+    larger = cc.large_star(edges, hot).collect()
+    assert len(larger) == len(links) and all((r.u, 400) in {tuple(x) for x in larger} for r in edges.where("v = 500").collect())
+    assert len({r.v for r in cc.small_star(edges, hot).where("u = 500").collect()}) == 4
+    got = {r.node: r.root for r in cc.components(edges.repartition(8)).collect()}
+    assert got == {x: 900 if 900 <= x < 1000 else 400 for p in links for x in p}
+
+
 # --- urls
 
 
