@@ -121,7 +121,8 @@ def test_nodes_with_many_edges_are_dealt_out(spark, monkeypatch):
     assert not done and {tuple(r) for r in hot.collect()} == {(500, 400, True)}
     larger = cc.large_star(edges, hot).collect()
     assert len(larger) == len(links) and all((r.u, 400) in {tuple(x) for x in larger} for r in edges.where("v = 500").collect())
-    assert len({r.v for r in cc.small_star(edges, hot).where("u = 500").collect()}) == 4
+    # one of each window; 499 is what 699 tells its neighbour 500
+    assert len({r.v for r in cc.small_star(edges, hot).where("u = 500").collect()} - {499}) == 4
     got = {r.node: r.root for r in cc.components(edges.repartition(8)).collect()}
     assert got == {x: 900 if 900 <= x < 1000 else 400 for p in links for x in p}
 
