@@ -43,7 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least by all columns stays; an empty table stays so; all columns pass through as they are.
     """
     ship(spark)
-    found = ngram_join.joined(docs)
+    # a few numbers a row, which several queries read
+    found = saved(ngram_join.joined(docs).select("doc_id", "text_hash", "group_id", "head_hash"), "groups")
     head = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("head_hash"))
     row = [F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")]
     gone = found.where(~head).select(*row).distinct()
